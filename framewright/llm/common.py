@@ -73,11 +73,23 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Letters of any script, by byte: everything else parts terms.
+_GAP = np.ones(256, bool)
+_GAP[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = False
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the accented capitals of Latin-1, in UTF-8."""
+    out = _LOWER[data]
+    lead = np.flatnonzero(out[:-1] == 0xC3) + 1
+    second = out[lead]
+    out[lead] = np.where((second >= 0x80) & (second <= 0x9E) & (second != 0x97), second | 0x20, second)
+    return out
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = 1 << max(20, n.bit_length())
@@ -96,20 +108,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words [^\\x20\\x09-\\x0D]+ of a run of texts: hashes, byte spans, and where each text's words begin."""
+    """Words [^\\x20\\x09-\\x0D]+ of a run of texts: hashes, byte spans, and where each text's words begin.
+
+    terms: case is folded beyond A-Z, and words are runs of letters, digits and apostrophes.
+    """
 
-    __slots__ = ("data", "ends", "first", "hashes", "starts")
+    __slots__ = ("_total", "data", "ends", "first", "hashes", "starts")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, terms: bool = False):
         n = len(data)
         if lower:
-            data = _LOWER[data]
+            data = fold_case(data) if terms and n else _LOWER[data]
         self.data = data
         if n == 0:
+            self._total = np.zeros(1, np.uint64)
             self.starts = self.ends = np.zeros(0, np.int64)
             self.hashes, self.first = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
             return
-        solid = ~_SPACE[data]
+        solid = ~(_GAP if terms else _SPACE)[data]
         begin = solid.copy()
         begin[1:] &= ~solid[:-1]
         cuts = offsets[:-1][offsets[:-1] < n]
@@ -125,6 +141,14 @@ class Words:
         np.cumsum(_BYTE[data] * power[:n], out=total[1:])
         self.hashes = mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
         self.first = np.searchsorted(self.starts, offsets)
+        self._total = total
+
+    def prefix_hashes(self, size: int) -> np.ndarray:
+        """Hash of each word's first size bytes; 0 for words of no more bytes."""
+        starts = np.where(self.ends - self.starts > size, self.starts, 0)
+        _, inverse = _power_tables(len(self._total))
+        hashes = mix((self._total[np.minimum(starts + size, len(self.data))] - self._total[starts]) * inverse[starts])
+        return np.where(self.ends - self.starts > size, hashes, np.uint64(0))
 
 
 def grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -168,9 +192,15 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         i = j
 
 
-def word_chunks(column: pa.Array, lower: bool, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def word_chunks(column: pa.Array, lower: bool, most: int = CHUNK_BYTES, terms: bool = False) -> Iterator[tuple[int, int, Words]]:
     for i, j, data, offsets in text_chunks(column, most):
-        yield i, j, Words(data, offsets, lower)
+        yield i, j, Words(data, offsets, lower, terms)
+
+
+def word_hash(word: str) -> int:
+    """The hash that Words gives a word."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(mix((_BYTE[data] * _power_tables(len(data) + 1)[0][: len(data)]).sum(keepdims=True))[0])
 
 
 def batches(rows: Iterable[dict[str, np.ndarray | list]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

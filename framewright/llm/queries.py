@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, sharding
-from .common import read
+from . import bpe, decontaminate, language_id, sharding
+from .common import fold, read
 
 SHARDS, SHARD_SEED = 40, 17
 
@@ -18,6 +19,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    found = language_id.predict(docs, model, ("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "rejected")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), SHARDS, SHARD_SEED).drop("source", "fraction")
 
@@ -26,8 +34,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op6_bpe)}
+    return {f.__name__: f for f in (op2_language_id, op3_sharding, op6_bpe, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
