@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, sharding
+from . import bpe, decontaminate, language_id, quality, sharding, toxicity
 from .common import fold, read
 
 SHARDS, SHARD_SEED = 40, 17
@@ -34,12 +34,24 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = quality.fit(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
+    return quality.score(docs, model, ("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    return toxicity.score(docs, model, ("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_sharding, op6_bpe, op10_decontamination)}
+    return {f.__name__: f for f in (op2_language_id, op3_sharding, op6_bpe, op7_quality, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
