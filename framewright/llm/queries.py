@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, quality, sharding, substring_dedup, toxicity
+from . import bpe, decontaminate, language_id, ngram_join, quality, sharding, substring_dedup, toxicity
 from .common import fold, read
 
 SHARDS, SHARD_SEED = 40, 17
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     model = language_id.fit(docs.where(~F.col("held_out")))
@@ -55,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_sharding, op4_substring_dedup, op6_bpe, op7_quality, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_sharding, op4_substring_dedup, op6_bpe, op7_quality, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
