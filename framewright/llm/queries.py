@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, ngram_join, quality, sharding, substring_dedup, toxicity
+from . import bpe, decontaminate, language_id, language_model, ngram_join, quality, sharding, substring_dedup, toxicity
 from .common import fold, read
 
 SHARDS, SHARD_SEED = 40, 17
@@ -38,6 +38,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_sharding, op4_substring_dedup, op6_bpe, op7_quality, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_sharding, op4_substring_dedup, op5_language_model, op6_bpe, op7_quality, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
