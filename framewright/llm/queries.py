@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, language_model, ngram_join, quality, sharding, substring_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, language_id, language_model, ngram_join, quality, sharding, substring_dedup, toxicity
 from .common import fold, read
 
 SHARDS, SHARD_SEED = 40, 17
@@ -52,6 +52,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
@@ -63,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_sharding, op4_substring_dedup, op5_language_model, op6_bpe, op7_quality, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_sharding, op4_substring_dedup, op5_language_model, op6_bpe, op7_quality, op8_embedding_dedup, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
