@@ -17,14 +17,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 #: The byte-level pre-tokenisation pattern, and Unicode's White_Space characters.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -121,15 +121,16 @@ class ByteBPE:
                 for chunk in self.chunks(part):
                     yield get(chunk) or slow(chunk)
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.encoded(text) for i in ids.split(",")]
+    def encode(self, text: str) -> np.ndarray:
+        decimal = ",".join([ids for ids, _, _ in self.encoded(text)])
+        return np.fromstring(decimal, np.int32, sep=",") if decimal else np.zeros(0, np.int32)
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
+    def decode_bytes(self, ids: Iterable[int]) -> bytes:
         raw = self.raw
         return b"".join([raw[i] for i in ids])
 
-    def decode(self, ids: list[int]) -> str:
-        return self.decode_bytes(ids).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return self.decode_bytes(ids.tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
@@ -139,21 +140,24 @@ def load(path: str) -> ByteBPE:
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, decoded of every text."""
+def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, n_tokens, ids, and round_trip (whether decoding gives the text back) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(texts), 256):
-                ids = [bpe.encode(t or "") for t in texts.slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, 256), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], names=["doc_id", "ids", "decoded"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                ids = [bpe.encode(t) for t in texts]
+                same = [bpe.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                made = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *made], names=[*keep, "n_tokens", "ids", "round_trip"])
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}n_tokens long, ids array<int>, round_trip boolean")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
