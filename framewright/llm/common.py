@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shielded(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with neutral names for all columns but the needed ones, so that none can clash; and what gives the names back."""
+    inner = {c: c if c in needed else f"_col{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*inner.values()), lambda df: df.select(*(F.col(i).alias(c) for c, i in inner.items()))
+
+
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
@@ -46,6 +53,11 @@ class Scratch:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
+    def tidy(self) -> None:
+        """Let Spark remove the shuffle files of plans that are done with: it does when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
@@ -54,10 +66,18 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", rows: int | None = None, bound: int = 500_000) -> DataFrame:
-    """Join that broadcasts small only if its counted rows are within bound; else both sides are shuffled."""
-    rows = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if rows <= bound else small.hint("merge"), on, how)
+#: Ids hash to so many buckets; a table of buckets has no more rows than that, whatever the corpus.
+BUCKETS = 1 << 18
+
+
+def bucket(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS))
+
+
+def among(rows: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows whose id may be wanted (left_semi), or is not (left_anti): by the bounded table of wanted buckets, without a shuffle of rows."""
+    own = F.broadcast(wanted.select(bucket(F.col("doc_id")).alias("_bucket")).distinct())
+    return rows.join(own, bucket(rows["doc_id"].cast("long")) == own["_bucket"], how)
 
 
 def spread_sample(df: DataFrame, key: Column, limit: int, seed: int) -> Column:
@@ -162,17 +182,6 @@ def grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def long_grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """As grams, by prefix sums: the cost does not depend on k."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(hashes + np.uint64(seed)) * power[: len(hashes)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * inverse[:n])
-
-
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of texts; nulls are empty texts. Texts are never cut."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,9 +8,11 @@
    anchors' phrases of those documents alone, and the documents are streamed through it: every
    occurrence is located. The automata so are shards whose size is bounded by the run, not by the
    corpus, and a document is streamed through one.
-3. Judge. Each window that holds a located phrase is hashed (two independent 64-bit hashes as one
-   128-bit key); the smallest id of each key is the passage's owner. A window whose owner is smaller
-   than its document covers its words.
+3. Judge. The windows of one anchor's occurrence are an extent. An extent (its words, as two
+   independent 64-bit hashes) that also occurs in a document with a smaller id is owned as a whole.
+   Where an anchor has extents that differ - at the edges of a passage, or round a changed word -
+   the windows of each extent's first occurrence are compared one by one in the same way. A window
+   whose owner is smaller than its document covers its words.
 
 Equal texts are handled as one for all this: the copy with the smallest id represents them, and every
 window of another copy is owned by it. Owners are found by a pre-aggregating minimum, so a passage
@@ -29,11 +31,12 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, grams, long_grams, text_chunks, word_chunks
+from .common import Scratch, Words, _power_tables, among, grams, mix, shielded, text_chunks, word_chunks
 
 WINDOW = 50
 GRAM = 17
@@ -104,8 +107,17 @@ def locate(words: Words, known: list[np.ndarray], gram: int, g: np.ndarray) -> n
     return hit
 
 
-def emit_windows(window: int, gram: int):
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32())])
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each run hashes[start:end], by prefix sums."""
+    power, inverse = _power_tables(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes + np.uint64(seed)) * power[: len(hashes)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def emit_extents(window: int, gram: int):
+    long = pa.int64()
+    schema = pa.schema([("g", long), ("e1", long), ("e2", long), ("doc_id", long), ("h", long), ("start", pa.int32()), ("windows", pa.int32()), ("k1", pa.list_(long)), ("k2", pa.list_(long))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,12 +125,18 @@ def emit_windows(window: int, gram: int):
             for i, j, words in word_chunks(texts, lower=False):
                 g, place, anchor = winnow(words.hashes, words.first, gram, window - gram + 1)
                 hit = locate(words, [np.asarray(lists[k].values).view(np.uint64) for k in range(i, j)], gram, g)
-                place = place[hit[anchor]]
-                if len(place):
-                    owner = np.searchsorted(words.first, place, "right") - 1
-                    text = pa.array(i + owner)
-                    one, two = (pa.array(long_grams(words.hashes, window, seed)[place].view(np.int64)) for seed in (1, 2))
-                    yield pa.RecordBatch.from_arrays([one, two, ids.take(text), keys.take(text), pa.array((place - words.first[owner]).astype(np.int32))], schema=schema)
+                keep = hit[anchor]
+                place, anchor = place[keep], anchor[keep]
+                if not len(place):
+                    continue
+                owner = np.searchsorted(words.first, place, "right") - 1
+                cut = np.flatnonzero(np.append(True, (np.diff(anchor) != 0) | (np.diff(place) != 1)))
+                bounds = np.append(cut, len(place))
+                start, count = place[cut], np.diff(bounds)
+                text = pa.array(i + owner[cut])
+                extent = (span_hashes(words.hashes, start, start + count - 1 + window, seed).view(np.int64) for seed in (3, 4))
+                one, two = (pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(span_hashes(words.hashes, place, place + window, seed).view(np.int64))) for seed in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(g[anchor[cut]].view(np.int64)), *map(pa.array, extent), ids.take(text), keys.take(text), pa.array((start - words.first[owner[cut]]).astype(np.int32)), pa.array(count.astype(np.int32)), one, two], schema=schema)
 
     return run
 
@@ -142,35 +160,42 @@ def verdicts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     own = scratch.put(own.groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("anchors")), "own")
     scratch.drop("marks")
 
-    ids = own.select("doc_id").distinct()
-    some = rows
-    if own.count() <= MOST_SENT:  # else the join below alone selects
-        some = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    met = some.join(own.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "anchors")
-    windows = scratch.put(met.mapInArrow(emit_windows(window, gram), "k1 long, k2 long, doc_id long, h long, pos int"), "windows")
+    met = among(rows, own).join(own.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "anchors")
+    kinds = "g long, e1 long, e2 long, doc_id long, h long, start int, windows int, k1 array<long>, k2 array<long>"
+    extents = scratch.put(met.mapInArrow(emit_extents(window, gram), kinds), "extents")
     scratch.drop("own")
-    owners = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("k1", "k2", "owner")
-    owned = windows.join(owners, ["k1", "k2"]).where("owner < doc_id").groupBy("doc_id", "h").agg(F.collect_set("pos").alias("starts"))
-    found = owned.select("doc_id", "h", F.lit(False).alias("whole"), F.array_sort("starts").alias("starts"))
-    found = found.unionByName(copies.select("doc_id", "h", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts")))
+
+    # whole extents: all windows of an anchor's occurrence at once
+    firsts = extents.groupBy("e1", "e2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    again = extents.select("e1", "e2", "doc_id", "h", "start", "windows").join(firsts.where("owner < last"), ["e1", "e2"]).where("owner < doc_id")
+    # single windows: only of anchors with more than one extent, and of each extent only where it comes first
+    mixed = extents.groupBy("g").agg(F.min("e1").alias("lo"), F.max("e1").alias("hi")).where("lo <> hi").select("g")
+    single = extents.join(mixed, "g", "left_semi").join(firsts, ["e1", "e2"]).where("owner = doc_id")
+    single = single.select("doc_id", "h", "start", F.posexplode(F.arrays_zip("k1", "k2")).alias("at", "k"))
+    single = scratch.put(single.select("doc_id", "h", (F.col("start") + F.col("at")).alias("start"), "k.k1", "k.k2"), "windows")
+    owners = single.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+    owned = single.join(owners, ["k1", "k2"]).where("owner < doc_id").select("doc_id", "h", "start", F.lit(1).alias("windows"))
+
+    runs = again.select("doc_id", "h", "start", "windows").unionByName(owned)
+    found = runs.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "windows"))).alias("runs"))
+    found = found.select("doc_id", "h", F.lit(False).alias("whole"), F.col("runs.start").alias("starts"), F.col("runs.windows").alias("windows"))
+    none = F.array().cast("array<int>")
+    found = found.unionByName(copies.select("doc_id", "h", F.lit(True).alias("whole"), none.alias("starts"), none.alias("windows")))
     found = scratch.put(found, "verdicts")
-    scratch.drop("windows", "copies")
+    scratch.drop("extents", "windows", "copies")
     return found
 
 
-#: Rows, and window starts in all, up to which a table is sent to every executor; beyond, it is joined by a shuffle.
-MOST_SENT, MOST_STARTS = 300_000, 3_000_000
-
-
 def with_verdicts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    n, starts = found.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
-    found = found.withColumnsRenamed({"doc_id": "_id", "h": "_h", "whole": "_whole", "starts": "_starts"})
-    side = F.broadcast(found) if n <= MOST_SENT and starts <= MOST_STARTS else found.hint("merge")
-    return docs.join(side, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
+    """docs with _id, _whole, _starts, _windows; only those that may have a verdict are shuffled."""
+    side = found.withColumnsRenamed({"doc_id": "_id", "h": "_h", "whole": "_whole", "starts": "_starts", "windows": "_windows"})
+    some = among(docs, found)
+    some = some.join(side.hint("merge"), (some["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(some["text"]) == F.col("_h")), "left").drop("_h")
+    return some.unionByName(among(docs, found, "left_anti"), allowMissingColumns=True)
 
 
-def kept_words(text: bytes, whole: bool | None, starts: np.ndarray | None, window: int) -> tuple[int, list[bytes]]:
-    """Number of words, and the words that stay."""
+def kept_words(text: bytes, whole: bool | None, starts: np.ndarray | None, windows: np.ndarray | None, window: int) -> tuple[int, list[bytes]]:
+    """Number of words, and the words that stay: those outside the given runs of windows."""
     words = text.split()
     if whole and len(words) >= window:
         return len(words), []
@@ -178,7 +203,7 @@ def kept_words(text: bytes, whole: bool | None, starts: np.ndarray | None, windo
         return len(words), words
     gone = np.zeros(len(words) + 1, np.int32)
     np.add.at(gone, starts, 1)
-    np.add.at(gone, starts + window, -1)
+    np.add.at(gone, starts + windows - 1 + window, -1)
     stay = np.cumsum(gone[:-1]) == 0
     return len(words), [w for w, s in zip(words, stay, strict=True) if s]
 
@@ -190,39 +215,37 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, whole, starts = batch.columns
+            ids, texts, whole, starts, windows = batch.columns
             for i, j, data, offsets in text_chunks(texts):
                 n, left, sha = [], [], []
                 for k in range(j - i):
-                    of = starts[i + k]
-                    count, stay = kept_words(data[offsets[k] : offsets[k + 1]].tobytes(), whole[i + k].as_py(), np.asarray(of.values) if of.is_valid else None, window)
+                    of, sizes = starts[i + k], windows[i + k]
+                    count, stay = kept_words(data[offsets[k] : offsets[k + 1]].tobytes(), whole[i + k].as_py(), *((np.asarray(x.values) if x.is_valid else None) for x in (of, sizes)), window)
                     n.append(count)
                     left.append(count - len(stay))
                     sha.append(hashlib.sha256(b" ".join(stay)).hexdigest())
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(sha, pa.string())], schema=schema)
 
     rows = with_verdicts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found)
-    return rows.select("doc_id", "text", "_whole", "_starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", "_whole", "_starts", "_windows").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with text reduced to the words that stay; documents that lose all their words go."""
     found = verdicts(docs, window)
-    names = docs.columns
+    inner, restored = shielded(docs)
 
     @F.pandas_udf("string")
-    def rest(texts, whole, starts):
+    def rest(texts: pd.Series, whole: pd.Series, starts: pd.Series, windows: pd.Series) -> pd.Series:
         out = []
-        for text, all_gone, at in zip(texts, whole, starts, strict=True):
-            if text is None or (not all_gone and (at is None or not len(at))):
+        for text, all_gone, at, size in zip(texts, whole, starts, windows, strict=True):
+            if text is None or (not all_gone and at is None):
                 out.append(text)
             else:
-                out.append(b" ".join(kept_words(text.encode(), bool(all_gone), None if at is None else np.asarray(at), window)[1]).decode())
-        import pandas as pd
-
+                out.append(b" ".join(kept_words(text.encode(), bool(all_gone), at, size, window)[1]).decode())
         return pd.Series(out, dtype=object)
 
-    rows = with_verdicts(docs, found)
-    touched = F.col("_id").isNotNull()
-    rows = rows.withColumn("_rest", rest("text", F.coalesce("_whole", F.lit(False)), "_starts"))
-    return rows.where(~touched | (F.col("_rest") != "")).select(*(F.col("_rest").alias(c) if c == "text" else F.col(c) for c in names))
+    rows = with_verdicts(inner, found)
+    rows = rows.withColumn("_rest", rest("text", F.coalesce("_whole", F.lit(False)), "_starts", "_windows"))
+    lost = F.col("_id").isNotNull() & (F.col("_rest") == "")
+    return restored(rows.where(~F.coalesce(lost, F.lit(False))).withColumn("text", F.col("_rest")))
