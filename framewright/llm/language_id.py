@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GAP, fold_case, text_chunks
+from .common import _GAP, fold_case, shielded, text_chunks
 
 #: Labelled rows that the model is fitted to, at most about.
 SAMPLE = 4_000
@@ -214,5 +214,5 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 def language_filter(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose language is not rejected, with their columns."""
-    names = docs.columns
-    return predict(docs, model, tuple(names)).where(~F.col("rejected")).select(*names)
+    inner, restored = shielded(docs)
+    return restored(predict(inner, model, tuple(inner.columns)).where(~F.col("rejected")))

@@ -132,7 +132,7 @@ class Network:
             back[own] += d @ p["words"][k].T
         back = back.reshape(steps, streams, HIDDEN)
         dh = np.zeros_like(start)
-        d_drive = np.empty((steps, streams, 3 * HIDDEN), np.float32)
+        d_drive = np.empty((steps, streams, 3 * HIDDEN), h.dtype)
         for t in range(steps - 1, -1, -1):
             z, r, n, a, before = trace[t]
             dh = dh + back[t]
@@ -145,7 +145,7 @@ class Network:
             dh = dh * z + d_around @ p["around"].T
         d_drive = d_drive.reshape(-1, 3 * HIDDEN)
         seen, place = np.unique(x.ravel(), return_inverse=True)
-        by_word = np.zeros((len(seen), 3 * HIDDEN), np.float32)
+        by_word = np.zeros((len(seen), 3 * HIDDEN), h.dtype)
         np.add.at(by_word, place, d_drive)
         g["bias"] = d_drive.sum(0)
         g["inward"] = p["embed"][seen].T @ by_word
