@@ -103,7 +103,7 @@ class Network:
         """Of the mean loss over one window (inputs and targets: steps x streams), the last state, and the loss."""
         p, steps, streams = self.p, *x.shape
         drive_table = p["embed"] @ p["inward"] + p["bias"]
-        trace, states = [], np.empty((steps, streams, HIDDEN), np.float32)
+        trace, states = [], np.empty((steps, streams, HIDDEN), h.dtype)
         start = h
         for t in range(steps):
             z, r, n, a, new = self.step(drive_table[x[t]], h)
