@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import data_dir
+from tests.conftest import data_dir
 
 from framewright.queries import ORACLES, QUERIES
 

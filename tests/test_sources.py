@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import data_dir
+from tests.conftest import data_dir
 from pyspark.sql import functions as F
 
 from framewright.operators import fingerprints, keyframes
