@@ -80,6 +80,13 @@ def among(rows: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFra
     return rows.join(own, bucket(rows["doc_id"].cast("long")) == own["_bucket"], how)
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows whose id is not in gone (a written table of doc_id); only rows that may be in it are shuffled."""
+    some = among(rows, gone)
+    left = some.join(gone.select(F.col("doc_id").alias("gone")).hint("merge"), some["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    return left.unionByName(among(rows, gone, "left_anti"))
+
+
 def spread_sample(df: DataFrame, key: Column, limit: int, seed: int) -> Column:
     """A condition that holds for about limit of df's rows, chosen by a seeded hash of key; all rows if there are fewer."""
     rows = df.count()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import grams, shielded, word_chunks, word_hash
+from .common import Scratch, grams, shielded, without, word_chunks, word_hash
 
 THRESHOLD, OVERLAP = 0.7, 0.6
 K1, B = 1.2, 0.75
@@ -250,5 +250,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with their columns."""
     inner, restored = shielded(docs)
-    leaking = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaking")).distinct()
-    return restored(inner.join(leaking, inner["doc_id"].cast("long") == F.col("leaking"), "left_anti"))
+    gone = find_leaks(docs, benchmark).select("doc_id").distinct()
+    return restored(without(inner, Scratch(docs.sparkSession).put(gone, "leaking")))

@@ -70,5 +70,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_sharding, op4_substring_dedup, op5_language_model, op6_bpe, op7_quality, op8_embedding_dedup, op9_toxicity, op10_decontamination)}
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+#: Links to the smallest id that they reach: (a, b) both ways in edges, all ids in nodes (id).
+_REACH = "reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a), least AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"
+
+ORACLES = {
+    "op1_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+one AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), nodes AS (SELECT doc_id AS id FROM sets),
+{_REACH} SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN least ON doc_id = id""",
+    "op4_substring_dedup": f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50),
+windows AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS g FROM starts),
+owners AS (SELECT g, min(doc_id) AS owner FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM windows JOIN owners USING (g), range(50) t(k) WHERE owner < doc_id),
+places AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS rest, count(*) AS n FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op8_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), nodes AS (SELECT vec_id AS id FROM v), links AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a),
+{_REACH} SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON vec_id = least.id LEFT JOIN links ON vec_id = links.id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can say; the others are held against brute force, libraries or held-out labels in tests/llm."""
+    return dict(ORACLES)
