@@ -15,13 +15,14 @@ rounds that never form all pairs of a tile unless they are needed: each round co
 with one leader of its band and one of the next, in every signature; what links becomes one
 component; nodes of one component need no further comparing. What is still apart after ROUNDS of
 these is compared pair by pair. So no link that joins two components is lost, and a group of
-thousands of near copies costs about a comparison per member.
+thousands of near copies costs about a comparison per member and band.
 
-Comparing. Bitmaps of BITS bits bound the overlap from above by bit counts: no more shingles of a
-than those whose bit b has. Pairs that pass have their sorted shingle arrays intersected exactly.
+Comparing. Hashed bitmaps, wider for larger sets, bound the overlap from above by bit counts: a set's
+shingles whose bit the other lacks are not shared. Of pairs that pass, the sorted shingle arrays are
+made again from the texts, which are a third of their size to move, and intersected exactly.
 
-Defined results: a null text is an empty one; rows with one id are rows of their own; equal rows are
-one node; an empty table gives an empty result; other columns are ignored. Texts are read whole.
+Defined results: a null text is an empty one; a row with a null id links with nothing; rows with one
+id are rows of their own; equal rows are one node; an empty table gives an empty result; other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, grams, mix, small_join, word_chunks
+from .common import Scratch, Words, among, grams, mix, shielded, without, word_chunks
 from .components import components
 
 SHINGLE, NEAR = 5, 80
-BITS, ROUNDS = 2048, 3
+BITS, BITS_PER, ROUNDS = 256, 2, 1
 #: A shingle is common when this share of documents has it; there can be no more than the mean set's size over it.
 COMMON = 1 / 1000
 
@@ -70,22 +71,27 @@ def node_keys(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(out[0]) ^ mix(out[1] + np.uint64(1))
 
 
-def least_overlap(a: np.ndarray, b: np.ndarray, near: int) -> np.ndarray:
+def least_overlap(a: int, b: int, near: int) -> int:
     """Smallest overlap with which sets of sizes a and b link."""
     return -(-near * (a + b) // (100 + near))
 
 
 def bitmap(keys: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(keys >> np.uint64(20)).astype(np.int64) % BITS] = True
-    return np.packbits(bits).tobytes()
+    """Which hash bits the set has; as many bits as the power of two above BITS_PER shingles, BITS at least."""
+    width = max(BITS, 1 << (BITS_PER * len(keys)).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(keys >> np.uint64(20)).astype(np.int64) & (width - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def may_link(a: np.ndarray, b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, near: int) -> np.ndarray:
-    """Whether the bitmaps (rows of bytes) leave room for the overlap that linking needs."""
-    only_a = np.bitwise_count(bits_a & ~bits_b).sum(1, dtype=np.int64)
-    only_b = np.bitwise_count(bits_b & ~bits_a).sum(1, dtype=np.int64)
-    return np.minimum(a - only_a, b - only_b) >= least_overlap(a, b, near)
+def bound(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
+    """Most shingles that two sets can share: those of one whose bit the other lacks are not shared."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):  # the wider one is folded
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(size_a - int(np.bitwise_count(x & ~y).sum()), size_b - int(np.bitwise_count(y & ~x).sum()))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -105,13 +111,14 @@ def band(column: str) -> Column:
 
 
 def _nodes(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, words in word_chunks(batch.column(1), lower=True):
+            for i, j, words in word_chunks(batch.column(2), lower=True):
                 keys, first = shingle_sets(words, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(node_keys(keys, first).view(np.int64))], schema=schema)
+                bits = [bitmap(keys[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first)), pa.array(node_keys(keys, first).view(np.int64)), pa.array(bits, pa.binary())], schema=schema)
 
     return run
 
@@ -161,7 +168,7 @@ def prefixes(keys: np.ndarray, first: np.ndarray, common: np.ndarray, level: np.
 
 
 def _signatures(size: int, near: int, shared):
-    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, level = shared.value
@@ -174,21 +181,7 @@ def _signatures(size: int, near: int, shared):
                 owner, sig = prefixes(keys, first, common, level, near)
                 keep = fresh[owner]
                 owner, sig = owner[keep], sig[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[owner]), pa.array(np.diff(first)[owner].astype(np.int32))], schema=schema)
-
-    return run
-
-
-def _sets(size: int):
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("shingles", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, words in word_chunks(batch.column(1), lower=True):
-                keys, first = shingle_sets(words, size)
-                bits = [bitmap(keys[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node_keys(keys, first).view(np.int64)), pa.array(np.diff(first)), pa.array(bits, pa.binary()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[owner])], schema=schema)
 
     return run
 
@@ -196,26 +189,27 @@ def _sets(size: int):
 def _bound(near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.asarray(batch.column(k)) for k in (2, 3))
-            bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), -1) for k in (4, 5)]
-            keep = pa.array(may_link(a, b, *bits, near))
+            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True)
+            keep = pa.array([bound(p.as_buffer(), q.as_buffer(), x, y) >= least_overlap(x, y, near) for x, y, p, q in sizes], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
 
-def _exact(near: int):
+def _exact(size: int, near: int):
+    """Pairs whose texts' sorted shingle arrays overlap enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64)
-                both = overlap(x, y)
-                keep.append(100 * both >= near * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [[keys[first[k] : first[k + 1]] for _, _, words in word_chunks(part.column(c), lower=True) for keys, first in [shingle_sets(words, size)] for k in range(len(first) - 1)] for c in (2, 3)]
+                keep = []
+                for x, y in zip(*sets, strict=True):
+                    both = overlap(x, y)
+                    keep.append(100 * both >= near * (len(x) + len(y) - both))
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
@@ -229,47 +223,49 @@ class Join:
     def __init__(self, docs: DataFrame, size: int, near: int):
         self.scratch, self.size, self.near = Scratch(docs.sparkSession), size, near
         self.sc = docs.sparkSession.sparkContext
-        self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.members = self.scratch.put(self.rows.mapInArrow(_nodes(size), "doc_id long, n long, node long"), "members")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+        self.rows = rows.where("doc_id is not null")
+        self.members = self.scratch.put(rows.mapInArrow(_nodes(size), "doc_id long, h long, n long, node long, bits binary"), "members")
 
     def signatures(self) -> DataFrame:
         """(sig, node, n, band) of signatures that two nodes or more have."""
         least = max(2, int(self.members.count() * COMMON))
-        often = self.rows.mapInArrow(_common(self.size), "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least)
+        often = self.rows.select("doc_id", "text").mapInArrow(_common(self.size), "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least)
         table = often.toArrow().sort_by("shingle")
         common = np.asarray(table["shingle"]).view(np.uint64).copy()
         order = np.argsort(common)
         level = np.log2(np.asarray(table["texts"], dtype=np.float64)[order]).astype(np.int64) if len(common) else np.zeros(0, np.int64)
         shared = self.sc.broadcast((common[order], level))
-        raw = self.scratch.put(self.rows.mapInArrow(_signatures(self.size, self.near, shared), "sig long, node long, n int"), "raw")
+        raw = self.scratch.put(self.rows.select("doc_id", "text").mapInArrow(_signatures(self.size, self.near, shared), "sig long, node long"), "raw")
         several = raw.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-        both = raw.join(several, "sig").distinct()
-        kept = self.scratch.put(both.withColumn("band", band("n")), "signatures")
+        both = self.scratch.put(raw.join(several, "sig"), "both")
         self.scratch.drop("raw")
+        self.scratch.tidy()
+        # each node with signatures to compare: its size, bitmap, and a row that has its text
+        nodes = self.members.where("doc_id is not null").join(both.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "h", "n", "bits")).alias("m"))
+        self.nodes = self.scratch.put(nodes.select("node", "m.doc_id", "m.h", "m.n", "m.bits"), "nodes")
+        sized = both.join(self.nodes.select("node", "n"), "node").withColumn("band", band("n"))
+        kept = self.scratch.put(sized, "signatures")
+        self.scratch.drop("both")
         return kept
 
-    def load_sets(self, signatures: DataFrame) -> None:
-        nodes = signatures.select("node").distinct()
-        reps = self.members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        texts = small_join(self.rows, reps, "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets(self.size), "node long, n long, bits binary, shingles array<long>")
-        self.sets = self.scratch.put(sets, "sets")
-
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the distinct pairs (a, b) that link."""
-        bits = self.sets.select("node", "n", "bits")
-        pairs = self.scratch.put(pairs, f"{name}-pairs")
-        with_a = pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
-        with_b = with_a.join(bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
-        left = with_b.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bound(self.near), "a long, b long")
-        left = self.scratch.put(left.distinct(), f"{name}-left")
-        n = left.count()
-        of_a = small_join(self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), left, "a", rows=n)
-        sets_b = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        of_b = small_join(sets_b, left.select("b").distinct(), "b", "left_semi", rows=n)
-        links = of_a.join(of_b.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_exact(self.near), "a long, b long")
+        """Those of the distinct pairs (a, b) that link: bitmaps first, then the texts' shingles."""
+        for side in ("a", "b"):
+            pairs = pairs.join(self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        left = pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bound(self.near), "a long, b long")
+        left = self.scratch.put(left, f"{name}-left")
+        ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+        wanted = self.nodes.select("node", "doc_id", "h").join(ends, "node")
+        texts = among(self.rows, wanted).join(wanted.hint("merge"), ["doc_id", "h"]).select("node", "text")
+        texts = self.scratch.put(texts, f"{name}-texts")
+        met = left
+        for side in ("a", "b"):
+            met = met.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
+        links = met.select("a", "b", "text_a", "text_b").mapInArrow(_exact(self.size, self.near), "a long, b long")
         links = self.scratch.put(links.distinct(), f"{name}-links")
-        self.scratch.drop(f"{name}-left")
+        self.scratch.drop(f"{name}-left", f"{name}-texts")
+        self.scratch.tidy()
         return links
 
     def labelled(self, signatures: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -283,41 +279,41 @@ class Join:
     def run(self) -> DataFrame:
         """doc_id, n, component_id."""
         signatures = self.signatures()
-        self.load_sets(signatures)
         links, tested, roots = None, None, None
         fits = F.expr(f"{self.near} * greatest(n, n2) <= 100 * least(n, n2)")
         for k in range(ROUNDS + 1):
-            now = self.scratch.put(self.labelled(signatures, roots), f"open{k}")
-            if now.isEmpty():
-                break
+            now = self.labelled(signatures, roots)
+            if roots is not None:
+                now = self.scratch.put(now, f"open{k}")
             if k < ROUNDS:
                 # a leader in each band of each signature: the least by a hash that changes with the round
-                lead = now.groupBy("sig", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "root")).alias("l"))
-                lead = lead.select("sig", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.root").alias("root2"))
-                found = now.join(lead, ["sig", "band"])
+                other = now.groupBy("sig", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "root")).alias("l")).select("sig", "band", "l.node", "l.n", "l.root")
             else:
-                other = now.select("sig", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-                found = now.join(other, ["sig", "band"])
-            pairs = found.where((F.col("root") != F.col("root2")) & fits).select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+                other = now
+            other = other.select("sig", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+            found = now.join(other, ["sig", "band"]).where((F.col("root") != F.col("root2")) & fits)
+            pairs = found.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = self.scratch.put(pairs, f"round{k}-pairs")
+            signatures = now.drop("root")
+            if pairs.isEmpty():
+                continue
+            tested = pairs if tested is None else tested.unionByName(pairs)
             new = self.verified(pairs, f"round{k}")
-            done = self.scratch.get(f"round{k}-pairs", pairs)
-            tested = done if tested is None else tested.unionByName(done)
             links = new if links is None else links.unionByName(new)
-            roots = self.scratch.put(components(links, self.scratch, f"cc{k}-"), f"roots{k}")
-            signatures = now.drop("root")
+            roots = components(links, self.scratch, f"cc{k}-")
         return self.classes(roots)
 
     def classes(self, roots: DataFrame | None) -> DataFrame:
         members = self.members
         root = F.col("node")
         if roots is not None:
-            members, root = members.join(roots.hint("merge"), "node", "left"), F.coalesce("root", "node")
+            members, root = members.drop("bits").join(roots.hint("merge"), "node", "left"), F.coalesce("root", "node")
         rooted = members.select("doc_id", "n", root.alias("root"))
         least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
         joined = rooted.join(least.hint("merge"), "root", "left")
-        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def join_documents(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
@@ -327,8 +323,6 @@ def join_documents(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> Da
 
 def keep_representatives(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """One document of each group: the one with the smallest id (of repeated rows of it, one); rows without an id stay."""
-    names = docs.columns
-    gone = join_documents(docs, size, near).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    n = gone.count()
-    side = F.broadcast(gone) if n <= 500_000 else gone.hint("merge")
-    return docs.join(side, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti").select(*names)
+    inner, restored = shielded(docs)
+    gone = join_documents(docs, size, near).where("component_id <> doc_id").select("doc_id").distinct()
+    return restored(without(inner, Scratch(docs.sparkSession).put(gone, "gone")))
