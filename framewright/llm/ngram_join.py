@@ -14,7 +14,8 @@ inside a band or between neighbouring bands, so only those tiles are compared. C
 rounds that never form all pairs of a tile unless they are needed: each round compares every node
 with one leader of its band and one of the next, in every signature; what links becomes one
 component; nodes of one component need no further comparing. What is still apart after ROUNDS of
-these is compared pair by pair. So no link that joins two components is lost, and a group of
+these is compared pair by pair: within a signature if few are left, else by their bitmaps alone, tile
+by tile, and then exactly where those leave room. So no link that joins two components is lost, and a group of
 thousands of near copies costs about a comparison per member and band.
 
 Comparing. Hashed bitmaps, wider for larger sets, bound the overlap from above by bit counts: a set's
@@ -30,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,9 @@ from .common import Scratch, Words, among, grams, mix, shielded, without, word_c
 from .components import components
 
 SHINGLE, NEAR = 5, 80
-BITS, BITS_PER, ROUNDS = 256, 2, 1
+BITS, BITS_PER, ROUNDS = 256, 2, 2
+#: Nodes still apart from which a signature is crowded; nodes of a block of a tile.
+CROWD, TILE = 32, 1024
 #: A shingle is common when this share of documents has it; there can be no more than the mean set's size over it.
 COMMON = 1 / 1000
 
@@ -196,6 +200,44 @@ def _bound(near: int):
     return run
 
 
+def fold_to(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of words, all folded to width bytes."""
+    out = np.empty((len(bits), width // 8), np.uint64)
+    for k, b in enumerate(bits):
+        x = np.frombuffer(b, np.uint64)
+        while len(x) > width // 8:
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
+def _tile(near: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, low, i, j = (pdf[c].iloc[0] for c in ("kind", "low", "i", "j"))
+        second = (pdf["block"].to_numpy() != i) if kind == 0 else (pdf["band"].to_numpy() != low)
+        same = kind == 0 and i == j
+        left, right = pdf[~second], pdf if same else pdf[second]
+        found = []
+        if len(left) and len(right):
+            width = min(map(len, pdf["bits"]))
+            x, y = (fold_to(list(p["bits"]), width) for p in (left, right))
+            n, m = left["n"].to_numpy(), right["n"].to_numpy()
+            roots, nodes = right["root"].to_numpy(), right["node"].to_numpy()
+            for k, (root, node, size) in enumerate(zip(left["root"], left["node"], n, strict=True)):
+                fits = (roots != root) & (near * np.maximum(m, size) <= 100 * np.minimum(m, size))
+                if same:
+                    fits &= nodes > node
+                at = np.flatnonzero(fits)
+                if len(at):
+                    most = np.minimum(size - np.bitwise_count(x[k] & ~y[at]).sum(1, dtype=np.int64), m[at] - np.bitwise_count(y[at] & ~x[k]).sum(1, dtype=np.int64))
+                    at = at[most >= -(-near * (size + m[at]) // (100 + near))]
+                    found.append(np.stack([np.maximum(nodes[at], node), np.minimum(nodes[at], node)], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
 def _exact(size: int, near: int):
     """Pairs whose texts' sorted shingle arrays overlap enough."""
 
@@ -280,19 +322,11 @@ class Join:
         """doc_id, n, component_id."""
         signatures = self.signatures()
         links, tested, roots = None, None, None
-        fits = F.expr(f"{self.near} * greatest(n, n2) <= 100 * least(n, n2)")
         for k in range(ROUNDS + 1):
             now = self.labelled(signatures, roots)
             if roots is not None:
                 now = self.scratch.put(now, f"open{k}")
-            if k < ROUNDS:
-                # a leader in each band of each signature: the least by a hash that changes with the round
-                other = now.groupBy("sig", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "root")).alias("l")).select("sig", "band", "l.node", "l.n", "l.root")
-            else:
-                other = now
-            other = other.select("sig", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            found = now.join(other, ["sig", "band"]).where((F.col("root") != F.col("root2")) & fits)
-            pairs = found.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+            pairs = self.with_leaders(now, k) if k < ROUNDS else self.with_all(now, roots)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = self.scratch.put(pairs, f"round{k}-pairs")
@@ -305,6 +339,59 @@ class Join:
             roots = components(links, self.scratch, f"cc{k}-")
         return self.classes(roots)
 
+    def met(self, now: DataFrame, other: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of now's nodes with other's (node, n, root) of a signature's band or the next one, still apart and of sizes that can link."""
+        other = other.select("sig", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+        fits = F.expr(f"{self.near} * greatest(n, n2) <= 100 * least(n, n2)")
+        found = now.join(other, ["sig", "band"]).where((F.col("root") != F.col("root2")) & fits)
+        return found.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+
+    def with_leaders(self, now: DataFrame, k: int) -> DataFrame:
+        """Every node with one leader of its band and one of the next: the least by a hash that changes with the round."""
+        lead = now.groupBy("sig", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "root")).alias("l"))
+        return self.met(now, lead.select("sig", "band", "l.node", "l.n", "l.root"))
+
+    def with_all(self, now: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """All pairs that are still apart: those of small signatures one by one, those of crowded ones by tiles."""
+        sizes = now.groupBy("sig").agg(F.count("*").alias("open"))
+        few = now.join(sizes.where(F.col("open") < CROWD).select("sig"), "sig")
+        pairs = self.met(few, few)
+        many = self.scratch.put(now.join(sizes.where(F.col("open") >= CROWD).select("sig"), "sig").select("sig", "node"), "crowded")
+        if many.isEmpty():
+            return pairs
+        return pairs.unionByName(self.tiled(many, roots)).distinct()
+
+    def tiled(self, many: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Pairs whose bitmaps leave room for a link, out of clusters of nodes that crowded signatures tie together.
+
+        A cluster's bands are cut into blocks of about TILE nodes; two blocks of one band, or of
+        neighbouring bands, are a tile, and a task holds the bitmaps of one tile at a time.
+        """
+        first = many.groupBy("sig").agg(F.min("node").alias("b"))
+        edges = many.join(first, "sig").select(F.col("node").alias("a"), "b").distinct()
+        tied = components(edges, self.scratch, "tiles-").withColumnRenamed("root", "cluster")
+        rows = tied.join(self.nodes.select("node", "n", "bits"), "node").withColumn("band", band("n"))
+        rows = rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else rows.withColumn("root", F.col("node"))
+        rows = self.scratch.put(rows, "clusters")
+        sizes = rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+        above = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+        below = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+        own = rows.join(sizes, ["cluster", "band"]).join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
+        own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+        def tiles(count: str, low: Column, kind: int, i, j) -> Column:
+            places = F.transform(F.sequence(F.lit(0), F.coalesce(F.col(count), F.lit(1)) - 1), lambda x: F.struct(low.alias("low"), F.lit(kind).alias("kind"), i(x).alias("i"), j(x).alias("j")))
+            return F.when(F.col(count).isNotNull(), places).otherwise(F.slice(places, 1, 0))
+
+        mine = F.col("block")
+        every = F.concat(
+            tiles("blocks", F.col("band"), 0, lambda x: F.least(mine, x), lambda x: F.greatest(mine, x)),
+            tiles("above", F.col("band"), 1, lambda x: mine, lambda x: x),
+            tiles("below", F.col("band") - 1, 1, lambda x: x, lambda x: mine),
+        )
+        dealt = own.select("cluster", "node", "n", "root", "bits", "band", "block", F.explode(every).alias("t")).select("cluster", "node", "n", "root", "bits", "band", "block", "t.*")
+        return dealt.groupBy("cluster", "low", "kind", "i", "j").applyInPandas(_tile(self.near), "a long, b long").distinct()
+
     def classes(self, roots: DataFrame | None) -> DataFrame:
         members = self.members
         root = F.col("node")

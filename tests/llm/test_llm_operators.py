@@ -145,6 +145,26 @@ def test_ngram_join_group_of_near_copies(spark):
     assert {i: got[i] for i in sets} == want and all(got[500 + i] == want[7] for i in range(50))
 
 
+@pytest.mark.parametrize(("crowd", "tile", "rounds"), [(2, 3, 0), (2, 1024, 1), (5, 7, 0)])
+def test_ngram_join_tiles(spark, monkeypatch, crowd, tile, rounds):
+    """Texts round one common passage: all signatures crowded, tiles cut small, few or no rounds before."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    rng = random.Random(crowd + tile)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        w = passage + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"c{i}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = classes([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    assert {r.doc_id: r.component_id for r in ngram_join.join_documents(table(spark, rows)).collect()} == want
+    assert len(set(want.values())) > 3
+
+
 def test_bitmap_bound():
     rng = np.random.default_rng(3)
     for _ in range(300):
