@@ -61,17 +61,19 @@ def winnow(hashes: np.ndarray, first: np.ndarray, gram: int, reach: int) -> tupl
 
 
 def emit_anchors(window: int, gram: int):
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64())])
+    """(anchor, h) of every text; of equal texts in a batch, of one."""
+    schema = pa.schema([("anchor", pa.int64()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
-            for i, _, words in word_chunks(batch.column(2), lower=False):
+            _, once = np.unique(np.asarray(batch.column(0)), return_index=True)
+            batch = batch.take(pa.array(np.sort(once)))
+            for i, _, words in word_chunks(batch.column(1), lower=False):
                 g, _, anchor = winnow(words.hashes, words.first, gram, window - gram + 1)
                 chosen = np.unique(anchor)
                 if len(chosen):
                     text = pa.array(i + np.searchsorted(words.first, chosen, "right") - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(g[chosen].view(np.int64)), ids.take(text), keys.take(text)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(g[chosen].view(np.int64)), batch.column(0).take(text)], schema=schema)
 
     return run
 
@@ -154,10 +156,10 @@ def verdicts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     copies = rows.select("doc_id", "h").join(groups.where("rep < last"), "h").where("doc_id > rep").select("doc_id", "h")
     copies = scratch.put(copies.distinct(), "copies")
 
-    marks = scratch.put(rows.mapInArrow(emit_anchors(window, gram), "anchor long, doc_id long, h long"), "marks")
+    marks = scratch.put(rows.select("h", "text").mapInArrow(emit_anchors(window, gram), "anchor long, h long"), "marks")
     recurring = marks.groupBy("anchor").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("anchor")
-    own = marks.join(recurring, "anchor").join(copies, ["doc_id", "h"], "left_anti")
-    own = scratch.put(own.groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("anchors")), "own")
+    lists = marks.join(recurring, "anchor").groupBy("h").agg(F.collect_set("anchor").alias("anchors"))
+    own = scratch.put(lists.join(groups, "h").select(F.col("rep").alias("doc_id"), "h", "anchors"), "own")
     scratch.drop("marks")
 
     met = among(rows, own).join(own.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "anchors")
