@@ -142,7 +142,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Model:
     languages = sorted(sizes)
     y = np.array([languages.index(x) for x in table["lang"].to_pylist()])
     whole = np.array(table["kind"]) == 0
-    own = [(b, c / c.sum()) for b, c in ((np.array(b, np.int64), np.array(c, np.float32)) for b, c in zip(table["bucket"].to_pylist(), table["count"].to_pylist(), strict=True))]
+    bucket, count = (table[c].combine_chunks() for c in ("bucket", "count"))
+    cuts = np.asarray(bucket.offsets)
+    flat, times = np.asarray(bucket.values), np.asarray(count.values).astype(np.float32)
+    own = [(flat[i:j], times[i:j] / times[i:j].sum()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     keep_out = (np.arange(len(y)) // 2) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
     return train(languages, own, y, whole, keep_out, seed)
 

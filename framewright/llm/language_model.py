@@ -287,7 +287,7 @@ def fit(training: DataFrame, vocab: Vocabulary, sample: int = SAMPLE, seed: int
     in_order = np.zeros(UNKNOWN)
     in_order[vocab.ids[vocab.ids < UNKNOWN]] = vocab.counts[vocab.ids < UNKNOWN]
     network = Network.new(in_order, vocab.total - in_order.sum())
-    network.train([np.array(x, np.int64) for x in drawn["ids"].to_pylist()])
+    network.train([np.asarray(x.values).astype(np.int64) for x in drawn["ids"]])
     network.p["end"] = np.array([vocab.end])
     return network
 
