@@ -4,20 +4,23 @@ Tokens are words (A-Z lower-cased), then one end for each text. Their counts are
 training text, by a pre-aggregated sum whose result stays in a table that grows with the corpus;
 log10((c + 1) / (N + V + 1)) of each token gives the base score. Words are known by 64-bit hashes.
 
-The network (gated recurrent units) predicts the next token out of the CLASSES x MEMBERS commonest
-ones and 'another word'. Its softmax is factored: the class first, then the word within the class,
-so a token costs CLASSES + MEMBERS outputs. Classes are runs of equal size in the order of counts;
+The network (gated recurrent units) predicts the next token out of the commonest ones - one in EACH
+of the V counted words, CLASSES x MEMBERS at least - and 'another word'. Its softmax is factored: the
+class first, then the word within the class, so a token costs twice the root of that number. Classes are runs of equal size in the order of counts;
 'another word' is a class by itself, and such a word's share of it is (c + 1) over the like sum of
 all words outside, so the model gives every word a probability, seen or not, that sum to one.
 
 It is trained in numpy by truncated backpropagation through windows of WINDOW tokens, with Adam and
-the state carried from window to window, on a bounded sample (SAMPLE) of the training texts; biases
-start from the corpus counts. Scoring too goes by windows and carries the state across, from a
+the state carried from window to window, on every training text: a hash deals the texts to shards
+of about SHARD tokens (PER_WORD for each word of the output, if that is more), each shard is a pass
+of its own from the same weights, and the weights are merged, a shard counting by its tokens. There
+are PASSES such rounds; the shards grow in number with the corpus, and the weights are merged by the
+executors in parts of PART numbers. Biases start from the corpus counts. Scoring too goes by windows and carries the state across, from a
 text's first token to its end: texts of one batch are sorted by length and advance together, and
 each is scored whole.
 
 A word's count is needed wherever it occurs. The FREQUENT commonest are sent to the executors (a
-bounded table); occurrences of others are joined to the table of counts by word, one row per word
+bounded table, or the output's words if they are more); occurrences of others are joined to the table of counts by word, one row per word
 and distinct text.
 
 Defined results: a null text is empty and has the end alone; rows with a null id are never held out;
@@ -27,6 +30,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread_sample, word_chunks, word_hash
+from .common import Scratch, word_chunks, word_hash
 
-#: Training texts that the network is fitted to, at most about; words of each that are used, one window after another.
-SAMPLE = 2_500
+#: Classes and words of each, at least; counted words to one word of the output.
 CLASSES, MEMBERS = 32, 32
+EACH = 256
+#: Tokens of a shard: so many, or so many for each word of the output. Weights merged by one task.
+SHARD, PER_WORD, PART = 1 << 20, 512, 1 << 16
 EMBED, HIDDEN, WINDOW, STREAMS, RATE, PASSES = 16, 24, 16, 96, 4e-3, 2
 FREQUENT = 150_000
 TOGETHER = 1_024
@@ -51,6 +57,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def output_size(words: int) -> int:
+    """Words of the output for so many: a square, CLASSES x MEMBERS at least."""
+    return max(UNKNOWN, (math.isqrt(max(words, 1) - 1) + 1) ** 2)
+
+
 def log_total(x: np.ndarray) -> np.ndarray:
     top = x.max(1, keepdims=True)
     return np.log(np.exp(x - top).sum(1)) + top[:, 0]
@@ -59,22 +70,25 @@ def log_total(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
+    seen: int = 0  # tokens of one round of training
 
     @classmethod
     def new(cls, counts: np.ndarray, other: float, seed: int = 3) -> Network:
         """counts: of the words of the output, in order (0 beyond their number); other: of all other words."""
         rng = np.random.default_rng(seed)
-        full = np.zeros(UNKNOWN)
+        size, members = output_size(len(counts)), max(MEMBERS, math.isqrt(output_size(len(counts))))
+        full = np.zeros(size)
         full[: len(counts)] = counts
         full += 0.5
-        by_class = full.reshape(CLASSES, MEMBERS)
+        by_class = full.reshape(-1, members)
+        classes = len(by_class)
         shares = np.append(by_class.sum(1), other + 0.5)
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[-2]), shape).astype(np.float32)
         return cls({
-            "embed": rng.normal(0, 0.5, (UNKNOWN + 1, EMBED)).astype(np.float32),
+            "embed": rng.normal(0, 0.5, (size + 1, EMBED)).astype(np.float32),
             "inward": draw(EMBED, 3 * HIDDEN), "bias": np.zeros(3 * HIDDEN, np.float32), "around": draw(HIDDEN, 3 * HIDDEN),
-            "classes": 0.1 * draw(HIDDEN, CLASSES + 1), "class_bias": np.log(shares / shares.sum()).astype(np.float32),
-            "words": 0.1 * draw(CLASSES, HIDDEN, MEMBERS), "word_bias": np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32),
+            "classes": 0.1 * draw(HIDDEN, classes + 1), "class_bias": np.log(shares / shares.sum()).astype(np.float32),
+            "words": 0.1 * draw(classes, HIDDEN, members), "word_bias": np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32),
         })
 
     def step(self, drive: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -87,21 +101,23 @@ class Network:
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability given its state."""
+        classes, members = self.p["word_bias"].shape
         out = h @ self.p["classes"] + self.p["class_bias"]
-        group = np.minimum(target // MEMBERS, CLASSES)
+        group = np.minimum(target // members, classes)
         log_p = out[np.arange(len(h)), group] - log_total(out)
         order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        cut = np.searchsorted(group[order], np.arange(classes + 1))
+        for k in range(classes):
             own = order[cut[k] : cut[k + 1]]
             if len(own):
                 inner = h[own] @ self.p["words"][k] + self.p["word_bias"][k]
-                log_p[own] += inner[np.arange(len(own)), target[own] % MEMBERS] - log_total(inner)
+                log_p[own] += inner[np.arange(len(own)), target[own] % members] - log_total(inner)
         return log_p
 
     def gradients(self, x: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Of the mean loss over one window (inputs and targets: steps x streams), the last state, and the loss."""
         p, steps, streams = self.p, *x.shape
+        classes, members = p["word_bias"].shape
         drive_table = p["embed"] @ p["inward"] + p["bias"]
         trace, states = [], np.empty((steps, streams, HIDDEN), h.dtype)
         start = h
@@ -111,7 +127,7 @@ class Network:
             states[t] = h = new
         flat, goal = states.reshape(-1, HIDDEN), target.ravel()
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        group = np.minimum(goal // MEMBERS, CLASSES)
+        group = np.minimum(goal // members, classes)
         out = flat @ p["classes"] + p["class_bias"]
         lse = log_total(out)
         loss = -(out[np.arange(len(goal)), group] - lse).sum()
@@ -120,13 +136,15 @@ class Network:
         d /= len(goal)
         g["classes"], g["class_bias"] = flat.T @ d, d.sum(0)
         back = d @ p["classes"].T
-        for k in np.unique(group[group < CLASSES]):
-            own = np.flatnonzero(group == k)
+        order = np.argsort(group, kind="stable")
+        cut = np.searchsorted(group[order], np.arange(classes + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            own = order[cut[k] : cut[k + 1]]
             inner = flat[own] @ p["words"][k] + p["word_bias"][k]
             lse = log_total(inner)
-            loss -= (inner[np.arange(len(own)), goal[own] % MEMBERS] - lse).sum()
+            loss -= (inner[np.arange(len(own)), goal[own] % members] - lse).sum()
             d = np.exp(inner - lse[:, None])
-            d[np.arange(len(own)), goal[own] % MEMBERS] -= 1
+            d[np.arange(len(own)), goal[own] % members] -= 1
             d /= len(goal)
             g["words"][k], g["word_bias"][k] = flat[own].T @ d, d.sum(0)
             back[own] += d @ p["words"][k].T
@@ -144,9 +162,9 @@ class Network:
             g["around"] += before.T @ d_around
             dh = dh * z + d_around @ p["around"].T
         d_drive = d_drive.reshape(-1, 3 * HIDDEN)
-        seen, place = np.unique(x.ravel(), return_inverse=True)
-        by_word = np.zeros((len(seen), 3 * HIDDEN), h.dtype)
-        np.add.at(by_word, place, d_drive)
+        order = np.argsort(x.ravel(), kind="stable")
+        seen, begin = np.unique(x.ravel()[order], return_index=True)
+        by_word = np.add.reduceat(d_drive[order], begin)
         g["bias"] = d_drive.sum(0)
         g["inward"] = p["embed"][seen].T @ by_word
         g["embed"][seen] = by_word @ p["inward"].T
@@ -215,7 +233,7 @@ class Network:
 
     @property
     def end_id(self) -> int:
-        return int(self.p["end"][0]) if "end" in self.p else UNKNOWN
+        return int(self.p["end"][0]) if "end" in self.p else self.p["word_bias"].size
 
 
 @dataclass
@@ -224,19 +242,20 @@ class Vocabulary:
 
     hashes: np.ndarray  # sorted
     counts: np.ndarray
-    ids: np.ndarray  # of the output; UNKNOWN for others
+    ids: np.ndarray  # of the output; its size for others
     total: int  # N
     distinct: int  # V
     outside: float  # sum of c + 1 over words outside the output, and one more
     end: int
+    unknown: int  # size of the output
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (-1: not among the frequent) and output id of each word."""
         if not len(self.hashes):
-            return np.full(len(hashes), -1), np.full(len(hashes), UNKNOWN)
+            return np.full(len(hashes), -1), np.full(len(hashes), self.unknown)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         known = self.hashes[at] == hashes
-        return np.where(known, self.counts[at], -1), np.where(known, self.ids[at], UNKNOWN)
+        return np.where(known, self.counts[at], -1), np.where(known, self.ids[at], self.unknown)
 
 
 def tokens(words) -> tuple[np.ndarray, np.ndarray]:
@@ -260,34 +279,76 @@ def count_words(training: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    unknown = output_size(distinct // EACH)
+    top = counts.orderBy(F.desc("c"), "word").limit(max(FREQUENT, unknown)).toArrow()
     words, c = np.asarray(top["word"]).view(np.uint64).copy(), np.asarray(top["c"]).astype(np.int64)
     rank = np.lexsort((words, -c))
     words, c = words[rank], c[rank]
-    ids = np.where(np.arange(len(words)) < UNKNOWN, np.arange(len(words)), UNKNOWN)
-    inside = ids < UNKNOWN
+    ids = np.minimum(np.arange(len(words)), unknown)
+    inside = ids < unknown
     outside = float(total - c[inside].sum() + distinct - inside.sum() + 1)
     at_end = np.flatnonzero(words == END)
     order = np.argsort(words)
-    return Vocabulary(words[order], c[order], ids[order], int(total), int(distinct), outside, int(ids[at_end[0]]) if len(at_end) else UNKNOWN)
+    return Vocabulary(words[order], c[order], ids[order], int(total), int(distinct), outside, int(ids[at_end[0]]) if len(at_end) else unknown, unknown)
 
 
-def fit(training: DataFrame, vocab: Vocabulary, sample: int = SAMPLE, seed: int = 13) -> Network:
+def sharded(training: DataFrame, vocab: Vocabulary, tokens_each: int, seed: int = 13) -> DataFrame:
+    """(shard, doc_id, h, ids): the output ids of every training text, dealt to shards of about so many tokens."""
     shared = training.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, words in word_chunks(batch.column(1), lower=True):
+            for i, j, words in word_chunks(batch.column(3), lower=True):
                 hashes, first = tokens(words)
                 ids = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(shared.value.find(hashes)[1].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids], names=["doc_id", "ids"])
-
-    rows = training.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drawn = rows.where(spread_sample(rows, F.col("doc_id"), sample, seed)).mapInArrow(run, "doc_id long, ids array<int>").toArrow().sort_by("doc_id")
-    in_order = np.zeros(UNKNOWN)
-    in_order[vocab.ids[vocab.ids < UNKNOWN]] = vocab.counts[vocab.ids < UNKNOWN]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), ids], names=["shard", "doc_id", "h", "ids"])
+
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", h), F.lit(max(1, -(-vocab.total // tokens_each))))
+    rows = training.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"), "text")
+    return rows.mapInArrow(run, "shard long, doc_id long, h long, ids array<int>")
+
+
+def merged(shards: DataFrame, network: Network, seed: int) -> Network:
+    """The network after one pass over each shard, all from the same weights: their mean, by tokens."""
+    shared = shards.sparkSession.sparkContext.broadcast(network)
+
+    def learn(key: tuple, rows: pa.Table) -> pa.Table:
+        own = Network({k: v.copy() for k, v in shared.value.p.items()})
+        texts = [np.asarray(x.values).astype(np.int64) for x in rows.sort_by([("doc_id", "ascending"), ("h", "ascending")])["ids"]]
+        own.train(texts, passes=1, seed=seed)
+        flat = np.concatenate([v.ravel() for v in own.p.values()])
+        parts = [flat[at : at + PART] for at in range(0, len(flat), PART)]
+        size = sum(map(len, texts))
+        return pa.table({"part": pa.array(range(len(parts)), pa.int32()), "shard": pa.array([key[0].as_py()] * len(parts), pa.int64()), "tokens": pa.array([size] * len(parts), pa.int64()), "x": pa.array(parts, pa.list_(pa.float32()))})
+
+    def mean(key: tuple, rows: pa.Table) -> pa.Table:
+        total, size = 0.0, 0
+        rows = rows.sort_by("shard")
+        for x, n in zip(rows["x"], rows["tokens"].to_pylist(), strict=True):
+            total, size = total + np.asarray(x.values).astype(np.float64) * n, size + n
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "tokens": pa.array([size], pa.int64()), "x": pa.array([(total / size).astype(np.float32)], pa.list_(pa.float32()))})
+
+    each = shards.groupBy("shard").applyInArrow(learn, "part int, shard long, tokens long, x array<float>")
+    found = each.groupBy("part").applyInArrow(mean, "part int, tokens long, x array<float>").toArrow().sort_by("part")
+    if not len(found):
+        return network
+    flat, at, p = np.concatenate([np.asarray(x.values) for x in found["x"]]), 0, {}
+    for k, v in network.p.items():
+        p[k] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return Network(p, found["tokens"][0].as_py())
+
+
+def fit(training: DataFrame, vocab: Vocabulary, scratch: Scratch, tokens_each: int | None = None) -> Network:
+    inside = vocab.ids < vocab.unknown
+    in_order = np.zeros(vocab.unknown)
+    in_order[vocab.ids[inside]] = vocab.counts[inside]
     network = Network.new(in_order, vocab.total - in_order.sum())
-    network.train([np.asarray(x.values).astype(np.int64) for x in drawn["ids"]])
+    shards = scratch.put(sharded(training, vocab, tokens_each or max(SHARD, PER_WORD * vocab.unknown)), "shards")
+    for k in range(PASSES):
+        network = merged(shards, network, 7 + k)
+    scratch.drop("shards")
     network.p["end"] = np.array([vocab.end])
     return network
 
@@ -309,8 +370,8 @@ def _score(shared):
                 seen = np.where(c > 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
                 known.append(np.bincount(owner, c > 0, len(first) - 1).astype(np.int64))
                 base.append(np.bincount(owner, seen, len(first) - 1))
-                inner.append(np.bincount(owner, np.where(ids == UNKNOWN, seen - np.log10(vocab.outside), 0.0), len(first) - 1))
-                held.append(ids.astype(np.int16))
+                inner.append(np.bincount(owner, np.where(ids == vocab.unknown, seen - np.log10(vocab.outside), 0.0), len(first) - 1))
+                held.append(ids.astype(np.int32))
                 sizes.append(np.diff(first))
             if not held:
                 continue
@@ -348,7 +409,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     training = rows.where(~F.col("held_out"))
     counts = scratch.put(count_words(training), "counts")
     vocab = vocabulary(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((fit(training, vocab), vocab))
+    shared = docs.sparkSession.sparkContext.broadcast((fit(training, vocab, scratch), vocab))
     rare = rows.select("h", "text").mapInArrow(_rare(shared), "word long, h long, times int")
     # equal texts have equal rows here; one of each counts, and no shuffle parts it from the join
     met = rare.join(counts, "word", "left").groupBy("word", "h").agg(F.max("times").alias("times"), F.max("c").alias("c"))

@@ -26,7 +26,7 @@ from framewright.llm import (
     substring_dedup,
     toxicity,
 )
-from framewright.llm.common import Words, text_chunks, word_hash
+from framewright.llm.common import Scratch, Words, text_chunks, word_hash
 
 #: Columns besides the usual ones, with names that operators use inside.
 SCHEMA = "doc_id bigint, text string, lang string, source string, n bigint, node string, h string, score string, rejected string, _id string, _leaking int, root int, word string"
@@ -334,6 +334,28 @@ def test_language_model_learns():
     assert np.mean(losses[-5:]) < 0.5 * losses[0]
 
 
+def test_language_model_trains_on_all(spark):
+    """Every training text reaches the network, in shards whose weights are merged; the merged network has learned."""
+    rng = random.Random(4)
+    rows = table(spark, [(i, " ".join(["p q r s", "t u v w"][rng.random() < 0.5] for _ in range(3))) for i in range(6_000)])
+    vocab = language_model.vocabulary(language_model.count_words(rows))
+    shards = language_model.sharded(rows, vocab, 20_000).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("t")).collect()
+    assert len(shards) == 4 and sum(r.n for r in shards) == 6_000 and sum(r.t for r in shards) == vocab.total == 78_000
+    net = language_model.fit(rows, vocab, Scratch(spark), 20_000)
+    assert net.seen == vocab.total
+    ids = [int(vocab.find(np.array([word_hash(w)], np.uint64))[1][0]) for w in "pqrstuvw"]
+    score = lambda t: net.score(np.array(t), np.array([0, len(t)]))[0]
+    assert score(ids[:4]) > score([ids[0], ids[5], ids[2], ids[7]]) + 1
+
+
+def test_language_model_output_grows(spark):
+    small, large = (language_model.vocabulary(spark.range(n).select(F.col("id").alias("word"), F.lit(2).alias("c"))) for n in (5_000, 600_000))
+    assert small.unknown == language_model.UNKNOWN < large.unknown == 49**2
+    net = language_model.Network.new(np.ones(large.unknown), 5.0)
+    every = np.arange(large.unknown + 1)
+    assert abs(np.exp(net.log_probability(np.zeros((len(every), language_model.HIDDEN)), every)).sum() - 1) < 1e-4
+
+
 # ---- 6 -----------------------------------------------------------------------------------
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
