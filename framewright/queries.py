@@ -426,9 +426,18 @@ def title_best_match(spark, d):
     return align.best_match(_titles(spark, d), "item_id", "pos", score, "title")
 
 
+def _whole_titles(spark, d, size: int = 256) -> DataFrame:
+    """Every benchmark text, whole, with every supplier: a text meets the blocks of about size names one by one, by the block's number."""
+    names = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title"))
+    blocks = max(1, -(-names.count() // size))
+    names = names.withColumn("block", F.pmod(F.xxhash64("pos"), F.lit(blocks)).cast("int"))
+    texts = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return texts.repartition(4 * blocks, "item_id", "block").join(names, "block")
+
+
 @query()
 def title_fuzzy_match(spark, d):
-    scored = _titles(spark, d).withColumn("s", txt.similarity(F.col("query"), F.col("title")))
+    scored = _whole_titles(spark, d).withColumn("s", txt.similarity(F.col("query"), F.col("title")))
     return align.best_match(scored, "item_id", "pos", F.col("s"), "title")
 
 
