@@ -3,11 +3,10 @@
 1. Confirm. Each text's word grams (GRAM words) are winnowed: of any REACH consecutive grams the one
    with the least hash is an anchor, so that every window of WINDOW words holds an anchor, and equal
    windows hold the same one. An anchor that occurs in two texts or more marks a recurring passage.
-2. Compile and stream. The documents that hold recurring anchors meet theirs again. For each run of
-   documents an Aho-Corasick automaton (pyahocorasick, over word numbers) is compiled from the
-   anchors' phrases of those documents alone, and the documents are streamed through it: every
-   occurrence is located. The automata so are shards whose size is bounded by the run, not by the
-   corpus, and a document is streamed through one.
+2. Locate. The documents that hold recurring anchors meet theirs again, by a join on the anchor's
+   hash, which locates every occurrence. For each run of documents an Aho-Corasick automaton
+   (pyahocorasick, over word numbers) is compiled from the anchors' phrases of those documents alone,
+   and the documents are streamed through it; at anchors it finds the same places as the join.
 3. Judge. The windows of one anchor's occurrence are an extent. An extent (its words, as two
    independent 64-bit hashes) that also occurs in a document with a smaller id is owned as a whole.
    Where an anchor has extents that differ - at the edges of a passage, or round a changed word -
