@@ -14,7 +14,9 @@ sentence) and answer (the last) must each share at least OVERLAP of their word t
 passage (short parts: their words in sequence).
 
 The index goes to every executor only in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words;
-more items make more blocks, each of which all documents are held against.
+more items make more blocks, each of which all documents are held against. Their number, mean and
+largest length and their terms' frequencies are taken over all items first, so that scores and
+passages do not depend on the blocks.
 
 Defined results: null and empty texts hold nothing; items that are null or have no words cannot
 leak; repeated items are each reported; equal rows give equal results; an empty table of documents
@@ -66,6 +68,21 @@ def part_grams(hashes: np.ndarray) -> np.ndarray:
     return np.unique(grams(hashes, min(3, max(1, len(hashes)))))
 
 
+@dataclass
+class Statistics:
+    """Of all items that have words."""
+
+    n: int
+    mean: float
+    longest: int
+    #: of each term: in how many items
+    df: dict[int, int]
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Statistics:
+        return cls(len(docs), sum(map(len, docs)) / len(docs), max(map(len, docs)), Counter(int(h) for d in docs for h in np.unique(d)))
+
+
 @dataclass
 class Index:
     items: list[int] = field(default_factory=list)
@@ -81,17 +98,17 @@ class Index:
     hint: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, bool))
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Index:
+    def build(cls, rows: list[tuple[int, str]], whole: Statistics | None = None) -> Index:
+        """whole: statistics of all items, where rows are a block of them."""
         rows = [(i, t) for i, t in rows if words_of(t)]
         index = cls(items=[i for i, _ in rows])
         docs = [hashed(words_of(t)) for _, t in rows]
         if not docs:
             return index
-        df = Counter(int(h) for d in docs for h in np.unique(d))
-        mean = sum(map(len, docs)) / len(docs)
-        index.longest = max(map(len, docs))
-        idf = {h: float(np.log(1 + (len(docs) - n + 0.5) / (n + 0.5))) for h, n in df.items()}
-        index.terms = np.array(sorted(df), np.uint64)
+        whole = whole or Statistics.of(docs)
+        mean, index.longest = whole.mean, whole.longest
+        index.terms = np.unique(np.concatenate(docs))
+        idf = {h: float(np.log(1 + (whole.n - whole.df[h] + 0.5) / (whole.df[h] + 0.5))) for h in index.terms.tolist()}
         index.hint[(index.terms >> np.uint64(64 - BITS)).astype(np.int64)] = True
         number = {int(h): k for k, h in enumerate(index.terms)}
         groups = min(GROUPS, len(docs))
@@ -215,24 +232,41 @@ LEAKS = "doc_id long, item_id long, score double, question_overlap double, answe
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks that are small enough to send to every executor."""
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each item with words: its block, words and distinct terms."""
+    for batch in batches:
+        docs = [(k, hashed(words_of(t))) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        docs = [(k, len(d), np.unique(d).view(np.int64)) for k, d in docs if len(d)]
+        yield pa.RecordBatch.from_pydict({"block": [k for k, _, _ in docs], "size": [n for _, n, _ in docs], "terms": [d for _, _, d in docs]}, schema=pa.schema([("block", pa.int32()), ("size", pa.int64()), ("terms", pa.list_(pa.int64()))]))
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Statistics | None]]:
+    """The items, in blocks that are small enough to send to every executor, each with the statistics of all for its terms."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     n, length = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-length // (4 * BLOCK_WORDS)))
     if blocks == 1:
-        yield sorted(map(tuple, items.collect()))
+        yield sorted(map(tuple, items.collect())), None
         return
-    part = items.withColumn("block", F.ntile(blocks).over(W.orderBy("item_id")))
+    scratch = Scratch(benchmark.sparkSession)
+    part = scratch.put(items.withColumn("block", F.ntile(blocks).over(W.orderBy("item_id", "text"))), "items")
+    terms = scratch.put(part.select("block", "text").mapInArrow(_terms, "block int, size long, terms array<long>"), "terms")
+    whole = terms.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    each = terms.select("block", F.explode("terms").alias("term")).groupBy("block", "term").agg(F.count("*").alias("n"))
+    total = each.groupBy("term").agg(F.sum("n").alias("df"))
+    df = scratch.put(each.select("block", "term").join(total, "term"), "frequencies")
     for k in range(1, blocks + 1):
-        yield sorted((i, t) for i, t, _ in part.where(F.col("block") == k).collect())
+        own = df.where(F.col("block") == k).select("term", "df").toArrow()
+        of = dict(zip(np.asarray(own["term"]).view(np.uint64).tolist(), own["df"].to_pylist(), strict=True))
+        rows = sorted((r.item_id, r.text) for r in part.where(F.col("block") == k).collect())
+        yield rows, Statistics(whole[0], (whole[1] or 0) / max(1, whole[0]), whole[2] or 1, of)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """One row per document and benchmark item that it holds."""
     sc, found = docs.sparkSession.sparkContext, None
-    for rows in item_blocks(benchmark):
-        shared = sc.broadcast(Index.build(rows))
+    for rows, whole in item_blocks(benchmark):
+        shared = sc.broadcast(Index.build(rows, whole))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

@@ -534,3 +534,21 @@ def test_wand_is_exhaustive(seed):
                 for item, impact in zip(*postings[t][:2], strict=True):
                     total[item] += impact
         assert {i for i, s in total.items() if s >= limit} == {i for i, _ in index.retrieve(terms, group, limit)}
+
+
+def test_decontamination_blocks_agree(spark, monkeypatch):
+    """Items dealt to blocks get the scores that one index gives them, edited copies near the threshold too."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    items = [(k, " ".join(rng.choice(words[: 20 + 3 * k]) for _ in range(rng.randint(12, 40))) + ". " + " ".join(rng.choice(words) for _ in range(rng.randint(3, 9))) + ".") for k in range(30)]
+    rows = []
+    for i in range(200):
+        w = items[i % 30][1].split()
+        for at in rng.sample(range(len(w)), rng.randint(0, len(w) // 4)):
+            w[at] = rng.choice(words)
+        rows.append((i, " ".join([*rng.choices(words, k=50), *w, *rng.choices(words, k=70)])))
+    bench = spark.createDataFrame([*items, (70, None), (71, "")], "item_id bigint, text string")
+    found = lambda: {(r.doc_id, r.item_id): round(r.score, 4) for r in decontaminate.find_leaks(table(spark, rows), bench, overlap=0.2).collect()}
+    one = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    assert len(one) > 100 and min(one.values()) < 0.95 and found() == one
