@@ -65,11 +65,6 @@ def popcount(fp: Column) -> Column:
     return F.bit_count(fp).cast("bigint")
 
 
-def is_keyframe(fp: Column, last: Column, distance: int, nonzero: int) -> Column:
-    """Far enough from the last keyframe, and not blank."""
-    return (popcount(fp) >= nonzero) & (hamming(fp, last) >= distance)
-
-
 def entropy(text: Column, alphabet: str = HEX_DIGITS, base: float | None = None) -> Column:
     """Shannon entropy of a text's letters (natural logarithm unless base is given); 0 for one letter or none.
 
@@ -87,8 +82,12 @@ def entropy(text: Column, alphabet: str = HEX_DIGITS, base: float | None = None)
 
 
 def from_coefficients(values: Column) -> Column:
-    """Last step of the perceptual hash: of 64 coefficients, which exceed their median."""
-    wide = F.transform(values, lambda x: x.cast("double"))
-    ordered = F.array_sort(wide)
+    """Last step of the perceptual hash: of 64 coefficients, which exceed their median.
+
+    The median is bound once for a row, as the variable of a transform over one element."""
+    wide = values.cast("array<double>")
+    ordered = F.sort_array(wide, asc=False)
     median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / F.lit(2.0)
-    return F.conv(F.array_join(F.transform(wide, lambda x: F.when(x > median, "1").otherwise("0")), ""), 2, -10).cast("bigint")
+    row = F.array(F.struct(wide.alias("v"), median.alias("m")))
+    digits = F.transform(row, lambda r: F.array_join(F.transform(r["v"], lambda x: F.when(x > r["m"], "1").otherwise("0")), ""))
+    return F.conv(F.element_at(digits, 1), 2, -10).cast("bigint")

@@ -63,6 +63,6 @@ def time_expression(start: int | str = BEGIN, stop: int | str = END, rate: tuple
     low, high = _bounds(start, stop)
 
     def at(n: int) -> str:
-        return f"{n * rate[1] / rate[0]:g}"
+        return repr(n / (rate[0] / rate[1])) if n else "0"
 
     return rf"gte(t\,{at(low)})" + ("" if high is None else rf"*lte(t\,{at(high)})")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,22 +32,36 @@ def distance_to_previous(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.withColumn("previous", before).where("previous is not null").withColumn("distance", hamming(F.col("fp"), F.col("previous"))).drop("previous")
 
 
+def flips(width: int, most: int) -> list[int]:
+    """All masks of width bits with at most so many set."""
+    return [sum(1 << k for k in places) for n in range(most + 1) for places in combinations(range(width), n)]
+
+
 def near_pairs(fingerprints: DataFrame, most: int = 7) -> DataFrame:
-    """Pairs of distinct fingerprints at most `most` bits apart (below 8).
+    """Pairs of distinct fingerprints at most `most` bits apart (below 9), each once.
 
-    Of eight one-byte bands at least 8 - most agree, so pairs meet on equal bytes. most + 1 bands
-    are enough for that; with few bits the bands are merged to longer, more selective keys.
+    Of b bands at least one differs in no more than most // b bits, so one side is keyed by its bands
+    as they are, the other by its bands with every such flip; bands of 21 bits or more keep the groups
+    that meet small. A pair is taken where its first such band meets.
     """
-    if not 0 <= most < 8:
-        raise ValueError("most must be in 0..7")
+    if not 0 <= most < 9:
+        raise ValueError("most must be in 0..8")
     once = fingerprints.select("fp").where("fp is not null").distinct()
-    bands = most + 1
+    bands = max(2, (most + 3) // 3)
+    radius = most // bands
     cuts = [64 * k // bands for k in range(bands + 1)]
-    keys = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)).alias("key")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    keyed = once.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.band", "k.key")
-    a, b = keyed.select(F.col("fp").alias("a"), "band", "key"), keyed.select(F.col("fp").alias("b"), "band", "key")
-    met = a.join(b, ["band", "key"]).where("a < b")
-    return met.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+
+    def part(fp: Column, k: int) -> Column:
+        return F.shiftrightunsigned(fp, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+
+    def keys(k: int, masks: list[int]) -> Column:
+        return F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.lit(k).alias("band"), part(F.col("fp"), k).bitwiseXOR(m.cast("bigint")).alias("key")))
+
+    plain = once.select(F.col("fp").alias("a"), F.explode(F.concat(*(keys(k, [0]) for k in range(bands)))).alias("k")).select("a", "k.*")
+    flipped = once.select(F.col("fp").alias("b"), F.explode(F.concat(*(keys(k, flips(cuts[k + 1] - cuts[k], radius)) for k in range(bands)))).alias("k")).select("b", "k.*")
+    met = plain.join(flipped, ["band", "key"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")))
+    earlier = [(F.col("band") <= k) | (F.bit_count(part(F.col("a").bitwiseXOR(F.col("b")), k)) > radius) for k in range(bands - 1)]
+    return met.where((F.col("distance") <= most) & reduce(lambda x, y: x & y, earlier)).select("a", "b", "distance")
 
 
 def concat_media(parts: DataFrame) -> DataFrame:
@@ -59,10 +76,11 @@ def concat_media(parts: DataFrame) -> DataFrame:
     return parts.join(starts, "file_pos").withColumn("new_frame_id", F.col("start") + F.col("frame_id") - F.col("low")).drop("start", "low")
 
 
-def rebase(frames: DataFrame, time: str = "t", by: str = "media_id") -> DataFrame:
-    """Times counted from the first of each media, and frames numbered from 0."""
+def rebase(frames: DataFrame, time: str = "t", by: str = "media_id", *ties: str) -> DataFrame:
+    """Times counted from the first of each media, and frames numbered from 0 (of equal times by ties)."""
     own = W.partitionBy(by)
-    return frames.withColumn(f"{time}_rebased", F.col(time) - F.min(time).over(own)).withColumn("n", F.row_number().over(own.orderBy(time)) - 1)
+    number = F.row_number().over(own.orderBy(time, *ties)) - 1
+    return frames.withColumn(f"{time}_rebased", F.col(time) - F.min(time).over(own)).withColumn("n", number.cast("bigint"))
 
 
 def group_entropy(rows: DataFrame, by: list[str], label: str, base: float | None = None) -> DataFrame:

@@ -8,19 +8,27 @@ a media of any length streams through its task in constant memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import entropy, hamming, popcount, to_hex
+from ..functions.fingerprint import entropy, popcount, to_hex
 
 DISTANCE, NONZERO = 8, 0
 
 
-def fold(fps: np.ndarray, last: int | None, distance: int) -> tuple[np.ndarray, int | None]:
+#: Distances of fingerprints to one.
+Distance = Callable[[np.ndarray, int], np.ndarray]
+
+
+def hamming_to(fps: np.ndarray, last: int) -> np.ndarray:
+    return np.bitwise_count(fps.view(np.uint64) ^ np.int64(last).view(np.uint64))
+
+
+def fold(fps: np.ndarray, last: int | None, distance: float, func: Distance = hamming_to) -> tuple[np.ndarray, int | None]:
     """Which of the fingerprints are kept after last, and the new last."""
     kept = np.zeros(len(fps), bool)
     at = 0
@@ -30,7 +38,7 @@ def fold(fps: np.ndarray, last: int | None, distance: int) -> tuple[np.ndarray,
         # the next frame that is far enough: looked for in growing stretches, all at once
         size = 64
         while at < len(fps):
-            near = _distance(fps[at : at + size], last) < distance
+            near = func(fps[at : at + size], last) < distance
             if near.all():
                 at += len(near)
                 size *= 4
@@ -42,12 +50,8 @@ def fold(fps: np.ndarray, last: int | None, distance: int) -> tuple[np.ndarray,
     return kept, last
 
 
-def _distance(fps: np.ndarray, last: int) -> np.ndarray:
-    return np.bitwise_count(fps.view(np.uint64) ^ np.int64(last).view(np.uint64))
-
-
-def keyframes(fingerprints: DataFrame, distance: int = DISTANCE, nonzero: int = NONZERO) -> DataFrame:
-    """(media_id, id_frame, frame_id, fp): id_frame counts from 1, frame_id from 0."""
+def keyframes(fingerprints: DataFrame, distance: float = DISTANCE, nonzero: int = NONZERO, func: Distance = hamming_to) -> DataFrame:
+    """(media_id, id_frame, frame_id, fp): id_frame counts from 1, frame_id from 0. func: another distance than Hamming's."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         media, last = None, None
@@ -59,7 +63,7 @@ def keyframes(fingerprints: DataFrame, distance: int = DISTANCE, nonzero: int =
             for a, b in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
                 if names[a] != media:
                     media, last = names[a], None
-                kept[a:b], last = fold(fps[a:b], last, distance)
+                kept[a:b], last = fold(fps[a:b], last, distance, func)
             yield pdf[kept]
 
     rows = fingerprints.where(popcount(F.col("fp")) >= nonzero).select("media_id", "frame_id", "fp").where("media_id is not null")
@@ -68,16 +72,6 @@ def keyframes(fingerprints: DataFrame, distance: int = DISTANCE, nonzero: int =
     return kept.select("media_id", (F.col("frame_id") + 1).alias("id_frame"), "frame_id", "fp")
 
 
-def keyframes_by_aggregate(fingerprints: DataFrame, distance: int = DISTANCE, nonzero: int = NONZERO) -> DataFrame:
-    """The same inside Catalyst alone, for media of a few thousand frames: one array per media is folded."""
-    rows = fingerprints.where(popcount(F.col("fp")) >= nonzero)
-    listed = rows.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("frame_id", "fp"))).alias("f"))
-    start = F.slice("f", 1, 1)
-    kept = F.aggregate(F.expr("slice(f, 2, size(f))"), start, lambda s, x: F.when(hamming(F.element_at(s, -1)["fp"], x["fp"]) >= distance, F.array_append(s, x)).otherwise(s))
-    frame = listed.select("media_id", F.explode(kept).alias("k"))
-    return frame.select("media_id", (F.col("k.frame_id") + 1).alias("id_frame"), F.col("k.frame_id").alias("frame_id"), F.col("k.fp").alias("fp"))
-
-
 def described(kept: DataFrame) -> DataFrame:
     """Keyframes with the entropy of their hexadecimal digits."""
     return kept.withColumn("fp_hex", to_hex(F.col("fp"))).withColumn("entropy", entropy(F.col("fp_hex")))
@@ -90,7 +84,7 @@ def frames_of(kept: DataFrame, frames: DataFrame, id_column: str = "frame_id") -
 
 
 def write_images(frames: DataFrame, folder: str, width: int = 32, height: int = 32) -> DataFrame:
-    """Write grey frames as <folder>/<media_id>-<frame_id>.pgm (a folder that all executors share); returns what was written."""
+    """Write grey frames as <folder>/<media_id>-<frame_id>.pgm (a folder that all executors share) when the result is read; its rows are what was written."""
     import os
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

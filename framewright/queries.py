@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from .functions import fingerprint as fpf
 from .functions import text as txt
 from .functions import timeline as tl
 from .operators import align, cues, fingerprints, keyframes
-from .plans.commands import FilterSpec
+from .plans.commands import FilterSpec, list_line
 
 FPS = 25
 
@@ -52,7 +52,7 @@ def cue_table(spark: SparkSession, sf_dir: str, gap: int = 700) -> DataFrame:
     """(media_id, cue_pos, cue_index, start_ms, end_ms, text): a cue lasts 40 ms a letter, with gaps between."""
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("media_id"), F.col("turn"), "text")
     order = W.partitionBy("media_id").orderBy("turn")
-    size = F.length(F.coalesce("text", F.lit(""))) % 97 * 40
+    size = F.length(F.coalesce("text", F.lit(""))) * 40
     rows = rows.withColumn("cue_pos", F.row_number().over(order) - 1).withColumn("size", size)
     end = F.sum(F.col("size") + gap).over(order.rowsBetween(W.unboundedPreceding, 0))
     return rows.select(
@@ -61,7 +61,7 @@ def cue_table(spark: SparkSession, sf_dir: str, gap: int = 700) -> DataFrame:
     )
 
 
-_CUES = """cue_rows AS (SELECT CAST(conv_id AS VARCHAR) AS media_id, turn, text, length(coalesce(text, '')) % 97 * 40 AS size,
+_CUES = """cue_rows AS (SELECT CAST(conv_id AS VARCHAR) AS media_id, turn, text, length(coalesce(text, '')) * 40 AS size,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue_pos FROM conversations),
 cues AS (SELECT media_id, CAST(cue_pos AS INTEGER) AS cue_pos, CAST(cue_pos + 1 AS VARCHAR) AS cue_index, text,
   CAST(sum(size + 700) OVER w - size AS BIGINT) AS start_ms, CAST(sum(size + 700) OVER w AS BIGINT) AS end_ms
@@ -72,15 +72,19 @@ def _frame_sql(ms: str) -> str:
     return f"CAST(trunc((CAST({ms} // 3600000 * 3600 + {ms} % 3600000 // 60000 * 60 + {ms} % 60000 // 1000 AS DOUBLE) + CAST({ms} % 1000 AS DOUBLE) / 1000.0::DOUBLE) * 25.0::DOUBLE) AS BIGINT)"
 
 
+def film_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(media_id, n): each conversation's film is as long as its cues."""
+    return cue_table(spark, sf_dir).groupBy("media_id").agg(tl.time_to_frame(F.max("end_ms")).alias("n"))
+
+
 def shown_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(media_id, frame_id, fp): the frames of each conversation's film, ten seconds shorter than its cues."""
-    ends = cue_table(spark, sf_dir).groupBy("media_id").agg(tl.time_to_frame(F.max("end_ms")).alias("n"))
-    frames = ends.where("n > 250").select("media_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 251)).alias("frame_id"))
+    """(media_id, frame_id, fp): the frames of each conversation's film."""
+    frames = film_lengths(spark, sf_dir).select("media_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("frame_id"))
     return frames.withColumn("fp", F.col("frame_id") * 7919 + F.length("media_id"))
 
 
-_SHOWN = f"""shown_n AS (SELECT media_id, {_frame_sql('max(end_ms)')} - 250 AS n FROM cues GROUP BY media_id),
-spans0 AS (SELECT c.*, {_frame_sql('start_ms')} AS fs, {_frame_sql('end_ms')} AS fe, n FROM cues c JOIN shown_n USING (media_id) WHERE n > 0),
+_SHOWN = f"""shown_n AS (SELECT media_id, {_frame_sql('max(end_ms)')} AS n FROM cues GROUP BY media_id),
+spans0 AS (SELECT c.*, {_frame_sql('start_ms')} AS fs, {_frame_sql('end_ms')} AS fe, n FROM cues c JOIN shown_n USING (media_id)),
 spans1 AS (SELECT *, max(greatest(0, fs - 1, fe - 1)) OVER (PARTITION BY media_id ORDER BY cue_pos ROWS UNBOUNDED PRECEDING) AS e0 FROM spans0),
 spans2 AS (SELECT *, coalesce(lag(e0) OVER (PARTITION BY media_id ORDER BY cue_pos), 0) AS prev FROM spans1),
 spans3 AS (SELECT *, greatest(prev, fs - 1) AS s0 FROM spans2),
@@ -92,8 +96,7 @@ emitted AS (SELECT media_id, cue_pos, cue_index, unnest(CASE WHEN kind = 'tail'
 
 
 def _cue_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = cue_table(spark, sf_dir).groupBy("media_id").agg((tl.time_to_frame(F.max("end_ms")) - 250).alias("n")).where("n > 0")
-    return cues.cue_fingerprints(cue_table(spark, sf_dir), shown_frames(spark, sf_dir), lengths=lengths)
+    return cues.cue_fingerprints(cue_table(spark, sf_dir), shown_frames(spark, sf_dir), lengths=film_lengths(spark, sf_dir))
 
 
 # ---- queries -----------------------------------------------------------------------------
@@ -158,10 +161,19 @@ def fp_entropy(spark, d):
     return hashed(spark, d).select("vec_id", F.round(fpf.entropy(fpf.to_hex(F.col("fp"))), 9).alias("entropy"))
 
 
-@query(f"""WITH {_FP}, one AS (SELECT DISTINCT fp, bits FROM fps) SELECT a.fp AS a, b.fp AS b, hamming(a.bits, b.bits) AS distance
-FROM one a JOIN one b ON a.fp < b.fp WHERE hamming(a.bits, b.bits) <= 7""")
+def with_flips(frames: DataFrame) -> DataFrame:
+    """Fingerprints (vec_id, fp), and of each one with 0 to 9 of its low 63 bits turned, by vec_id."""
+    place = lambda j: F.pmod(F.col("vec_id") * 7 + j * 13, F.lit(63)).cast("int")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda j: F.when(j < F.col("vec_id") % 10, F.call_function("shiftleft", F.lit(1).cast("bigint"), place(j))).otherwise(F.lit(0).cast("bigint")))
+    mask = F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
+    return frames.select("fp").unionByName(frames.select(F.col("fp").bitwiseXOR(mask).alias("fp")))
+
+
+@query(f"""WITH {_FP}, turned AS (SELECT xor(fp, CAST(coalesce(list_sum(list_transform(range(vec_id % 10), lambda j: CAST(1 AS HUGEINT) << CAST((vec_id * 7 + j * 13) % 63 AS INTEGER))), 0) AS BIGINT)) AS fp FROM fps),
+one AS (SELECT fp FROM fps UNION SELECT fp FROM turned) SELECT a.fp AS a, b.fp AS b, CAST(bit_count(xor(a.fp, b.fp)) AS BIGINT) AS distance
+FROM one a JOIN one b ON a.fp < b.fp WHERE bit_count(xor(a.fp, b.fp)) <= 7""")
 def fp_near_pairs(spark, d):
-    return fingerprints.near_pairs(hashed(spark, d), 7)
+    return fingerprints.near_pairs(with_flips(hashed(spark, d)), 7)
 
 
 _KEYFRAMES = """, ordered AS (SELECT media_id, frame_id, fp, bits, row_number() OVER (PARTITION BY media_id ORDER BY frame_id) AS k FROM fps WHERE length(replace(bits, '0', '')) >= 16),
@@ -174,11 +186,6 @@ def important_frames(spark, d):
     return keyframes.keyframes(fingerprint_table(spark, d), 32, 16)
 
 
-@query(f"WITH RECURSIVE {_FP}{_KEYFRAMES} SELECT media_id, frame_id + 1 AS id_frame, frame_id, fp FROM walk WHERE kept")
-def important_frames_native(spark, d):
-    return keyframes.keyframes_by_aggregate(fingerprint_table(spark, d), 32, 16)
-
-
 @query(f"""WITH RECURSIVE {_FP}{_KEYFRAMES}, kept AS (SELECT media_id, frame_id, printf('%016x', fp) AS fp_hex FROM walk WHERE kept),
 ch AS (SELECT media_id, frame_id, fp_hex, unnest(string_split(fp_hex, '')) AS ch FROM kept), p AS (SELECT media_id, frame_id, fp_hex, ch, count(*) / 16.0 AS p FROM ch WHERE ch <> '' GROUP BY ALL)
 SELECT media_id, frame_id, fp_hex, round(-sum(p * ln(p)), 9) + 0.0 AS entropy FROM p GROUP BY media_id, frame_id, fp_hex""")
@@ -248,8 +255,11 @@ def media_homogeneous(spark, d):
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def probe_json_entry(spark, d):
-    events = _table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return events.select("event_id", F.try_element_at("m", F.lit("k")).try_cast("bigint").alias("k"))
+    """An entry of the first stream of probe output made of each event's properties."""
+    from .sources.media import parse_entries, stream_entry
+
+    raw = F.concat(F.lit('{"streams":['), "props", F.lit(',{"k":"-1"}]}'))
+    return _table(spark, d, "events").select("event_id", stream_entry(parse_entries(raw), 0, "k").try_cast("bigint").alias("k"))
 
 
 @query("""SELECT event_id, (event_id % 7 + 1) * 320 || 'x' || (event_id % 5 + 1) * 200 AS scale, 'h26' || event_id % 6 AS vcodec, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'aac' END AS acodec FROM events WHERE event_id % 11 <> 0""")
@@ -273,9 +283,8 @@ def frame_pts(spark, d):
 
 @query("""SELECT user_id, event_id, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS t_rebased, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS n FROM events""")
 def time_rebase(spark, d):
-    own = W.partitionBy("user_id")
     events = _table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return events.select("user_id", "event_id", (F.col("t") - F.min("t").over(own)).alias("t_rebased"), (F.row_number().over(own.orderBy("t", "event_id")) - 1).cast("bigint").alias("n"))
+    return fingerprints.rebase(events, "t", "user_id", "event_id").select("user_id", "event_id", "t_rebased", "n")
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL), n AS (SELECT user_id, sum(c) AS n FROM c GROUP BY user_id)
@@ -374,7 +383,8 @@ def url_quote(spark, d):
     return _table(spark, d, "pages").select("page_id", txt.quote_url(F.col("url")).alias("quoted"))
 
 
-@query()
+#: The entities that the pages hold, &amp; last so that nothing is unescaped twice; without its semicolon it counts too.
+@query("""SELECT page_id, regexp_replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS text FROM pages""")
 def html_unescape(spark, d):
     return _table(spark, d, "pages").select("page_id", txt.unescape_html(F.col("html")).alias("text"))
 
@@ -402,31 +412,20 @@ def zip_texts(spark, d):
     return rows.select("media_id", "cue_pos", F.explode(pairs).alias("p")).select("media_id", "cue_pos", "p.source", "p.target")
 
 
-@query()
+_LE = "array_to_string(list_transform(string_split(source_text, ' '), lambda w: CASE w WHEN 'the' THEN 'le' WHEN 'of' THEN 'de' ELSE w END), ' ')"
+
+
+@query(f"WITH {_CUES}, t AS (SELECT media_id, cue_pos, replace(text, chr(10), ' ') AS source_text FROM cues) SELECT media_id, cue_pos, source_text, {_LE} AS target_text FROM t")
 def translate_stub(spark, d):
     return align.translated(cue_table(spark, d), {"the": "le", "of": "de"})
 
 
-@query()
+@query(f"WITH {_CUES}, t AS (SELECT media_id, cue_pos, replace(text, chr(10), ' ') AS source_text FROM cues) SELECT media_id, CAST(cue_pos AS BIGINT) AS cue_pos, source_text, {_LE} AS target_text FROM t")
 def translate_chunks(spark, d):
     return align.translated_in_chunks(cue_table(spark, d), 15, words={"the": "le", "of": "de"})
 
 
-def _titles(spark, d) -> DataFrame:
-    """Every benchmark title with every supplier of its group: candidates meet on a key, not all with all."""
-    titles = _table(spark, d, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 24).alias("query"), (F.col("item_id") % 20).alias("g"))
-    names = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title"), (F.col("s_suppkey") % 20).alias("g"))
-    return titles.join(names, "g")
-
-
-@query("""WITH c AS (SELECT item_id, s_suppkey AS pos, s_name AS title, -levenshtein(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 24), s_name) AS score FROM benchmark JOIN supplier ON item_id % 20 = s_suppkey % 20)
-SELECT item_id, pos, title, score FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pos) = 1""")
-def title_best_match(spark, d):
-    score = -F.levenshtein("query", "title").cast("bigint")
-    return align.best_match(_titles(spark, d), "item_id", "pos", score, "title")
-
-
-def _whole_titles(spark, d, size: int = 256) -> DataFrame:
+def _titles(spark, d, size: int = 256) -> DataFrame:
     """Every benchmark text, whole, with every supplier: a text meets the blocks of about size names one by one, by the block's number."""
     names = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title"))
     blocks = max(1, -(-names.count() // size))
@@ -435,17 +434,25 @@ def _whole_titles(spark, d, size: int = 256) -> DataFrame:
     return texts.repartition(4 * blocks, "item_id", "block").join(names, "block")
 
 
+@query("""WITH c AS (SELECT item_id, s_suppkey AS pos, s_name AS title, -levenshtein(regexp_replace(text, '[^ -~]', '?', 'g'), regexp_replace(s_name, '[^ -~]', '?', 'g')) AS score FROM benchmark, supplier)
+SELECT item_id, pos, title, score FROM c QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pos) = 1""")
+def title_best_match(spark, d):
+    """By edits; a letter beyond ASCII counts as '?' on either side, so that letters and bytes are one."""
+    plain = lambda c: F.regexp_replace(c, "[^ -~]", "?")
+    score = -F.levenshtein(plain("query"), plain("title")).cast("bigint")
+    return align.best_match(_titles(spark, d), "item_id", "pos", score, "title")
+
+
 @query()
 def title_fuzzy_match(spark, d):
-    scored = _whole_titles(spark, d).withColumn("s", txt.similarity(F.col("query"), F.col("title")))
+    scored = _titles(spark, d).withColumn("s", txt.similarity(F.col("query"), F.col("title")))
     return align.best_match(scored, "item_id", "pos", F.col("s"), "title")
 
 
 @query("SELECT p_partkey, 'scale=w=' || p_size || ':h=' || p_size * 2 AS spec, 'file ''' || p_name || '''' || chr(10) AS line, p_size || 'x' || p_size * 2 AS scale FROM part")
 def filter_string(spark, d):
-    options = F.array(F.struct(F.lit("w").alias("k"), F.col("p_size").cast("string").alias("v")), F.struct(F.lit("h").alias("k"), (F.col("p_size") * 2).cast("string").alias("v")))
-    spec: Column = F.concat(F.lit(FilterSpec("scale").build() + "="), F.array_join(F.transform(options, lambda o: F.concat(o["k"], F.lit("="), o["v"])), ":"))
-    return _table(spark, d, "part").select("p_partkey", spec.alias("spec"), F.format_string("file '%s'\n", "p_name").alias("line"), F.concat_ws("x", "p_size", F.col("p_size") * 2).alias("scale"))
+    spec = FilterSpec("scale").with_option("w", F.col("p_size")).with_option("h", F.col("p_size") * 2)
+    return _table(spark, d, "part").select("p_partkey", spec.as_column().alias("spec"), list_line(F.col("p_name")).alias("line"), F.concat_ws("x", "p_size", F.col("p_size") * 2).alias("scale"))
 
 
 @query(f"""WITH {_FP}, s AS (SELECT media_id, count(*) AS n FROM fps GROUP BY media_id) SELECT media_id, 'gte(n\\,' || n // 4 || ')*lte(n\\,' || n // 2 || ')' AS expr, n // 2 - n // 4 + 1 AS n_frames FROM s""")
@@ -457,7 +464,14 @@ def select_expression(spark, d):
     return kept.groupBy("media_id", expr.alias("expr")).agg(F.count("*").alias("n_frames"))
 
 
-@query()
+_BASIS = "2 * cos(pi() * k * (2 * x + 1) / 64.0::DOUBLE)"
+
+
+@query(f"""WITH tone AS (SELECT vec_id, list_transform(embedding, lambda v: CAST((CAST(floor(v * 1000.0::FLOAT) AS BIGINT) % 256 + 256) % 256 AS DOUBLE)) AS t FROM embeddings),
+rows2 AS (SELECT vec_id, l, list_sum(list_transform(range(32), lambda x: {_BASIS.replace("k", "l")} * t[x + 1])) AS r0, list_sum(list_transform(range(32), lambda x: {_BASIS.replace("k", "l")} * t[x + 33])) AS r1 FROM tone, range(8) g(l)),
+lines AS (SELECT k, list_sum(list_transform(range(0, 32, 2), lambda x: {_BASIS})) AS even, list_sum(list_transform(range(1, 32, 2), lambda x: {_BASIS})) AS odd FROM range(8) g(k)),
+c AS (SELECT vec_id, k * 8 + l AS i, round(even * r0 + odd * r1, 6) AS c FROM rows2, lines), m AS (SELECT vec_id, median(c) AS m FROM c GROUP BY vec_id)
+SELECT vec_id, CAST(sum(CASE WHEN c > m AND i > 0 THEN CAST(1 AS HUGEINT) << CAST(63 - i AS INTEGER) ELSE 0 END) - sum(CASE WHEN c > m AND i = 0 THEN 9223372036854775808 ELSE 0 END) AS BIGINT) AS fp FROM c JOIN m USING (vec_id) GROUP BY vec_id""")
 def frame_phash(spark, d):
     """Perceptual hashes of 32x32 grey frames made from the embeddings."""
     from .functions.phash import phash
@@ -480,12 +494,14 @@ def stream_keyframes(spark, d):
 
 
 def _streamed(spark: SparkSession, d: str, what: str) -> DataFrame:
-    import tempfile
     import uuid
 
     from .streaming.keyframes import streaming_histogram, streaming_keyframes
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
     root = f"{shared}/framewright-stream-{uuid.uuid4().hex}"
     table = fingerprint_table(spark, d).select("media_id", "frame_id", "fp")
     table.write.parquet(f"{root}/in")

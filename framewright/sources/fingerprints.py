@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import from_bytes, to_bytes
+from ..functions.fingerprint import from_bytes
 
 RECORD = 8
 
@@ -28,9 +28,9 @@ def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 
 def pack_records(fingerprints: DataFrame) -> DataFrame:
     """media_id and content: the file's bytes, frames in order."""
-    rows = fingerprints.select("media_id", F.struct("frame_id", to_bytes(F.col("fp")).alias("raw")).alias("r"))
-    packed = rows.groupBy("media_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return packed.select("media_id", F.aggregate("r", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["raw"])).alias("content"))
+    rows = fingerprints.select("media_id", F.struct("frame_id", F.lpad(F.hex("fp"), 16, "0").alias("raw")).alias("r"))
+    packed = rows.groupBy("media_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return packed.select("media_id", F.unhex(F.array_join(F.col("r.raw"), "")).alias("content"))
 
 
 def media_key(path: str | Column) -> Column:
@@ -39,9 +39,10 @@ def media_key(path: str | Column) -> Column:
 
 
 def write_fingerprint_files(fingerprints: DataFrame, folder: str) -> DataFrame:
-    """Write <folder>/<media_id>.ba for every media (a folder that all executors share); returns what was written.
+    """Write <folder>/<media_id>.ba for every media (a folder that all executors share) when the result is read; its rows are what was written.
 
-    Frames of a media are streamed in order to one file; nothing is gathered in memory.
+    Frames of a media are streamed in order to one file; nothing is gathered in memory. A task that
+    is run again starts its files anew.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import BinaryCallFailed, BinaryNotFound, StreamEntryNotFound, StreamIndexOutOfBound
-from ..plans.commands import FilterSpec, MediaCommand
+from ..plans.commands import FilterSpec, MediaCommand, frame_rate
 from ..functions.timeline import BEGIN, END, select_expression
 from ..schema import PROBE
 
@@ -108,11 +108,15 @@ class FrameReader(DataSourceReader):
 
     def read(self, part: _Range) -> Iterator[tuple]:
         width, height = int(self.options.get("width", 32)), int(self.options.get("height", 32))
-        yield from ((part.path, part.start + k, raw) for k, raw in enumerate(decode(part.path, part.start, part.stop, width, height)))
+        frames = decode(part.path, part.start, part.stop, width, height, self.options.get("rate"))
+        yield from ((part.path, part.start + k, raw) for k, raw in enumerate(frames))
 
 
 class FrameSource(DataSource):
-    """format("frames"): grey frames of a media file, decoded by an external tool where there is one."""
+    """format("frames"): grey frames of a media file, decoded by an external tool where there is one.
+
+    Options: path, start, stop, frames (of a partition), width, height, and rate (num/den; the file
+    is asked where it is not given), by which a later range seeks to its first frame."""
 
     @classmethod
     def name(cls) -> str:
@@ -125,11 +129,28 @@ class FrameSource(DataSource):
         return FrameReader(self.options)
 
 
-def decode(path: str, start: int | str, stop: int | str, width: int, height: int) -> Iterator[bytes]:
-    """Grey frames of width x height bytes; a partial last one is dropped."""
-    command = MediaCommand(binary=find_binary("ffmpeg")).input(path).video_filter(FilterSpec("scale", [("w", width), ("h", height)]))
+def frames(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """(media_id, frame_id, gray) of a media file; options as FrameSource has them."""
+    spark.dataSource.register(FrameSource)
+    return spark.read.format("frames").options(**{k: str(v) for k, v in options.items()}).load(path)
+
+
+def decode_command(path: str, start: int | str, stop: int | str, width: int, height: int, rate: str | None = None, binary: str = "ffmpeg") -> list[str]:
+    """Arguments that decode the frames start..stop; with a rate, reading begins half a frame before the first."""
+    command = MediaCommand(binary=binary).input(path).video_filter(FilterSpec("scale", [("w", width), ("h", height)]))
+    if rate and start not in (BEGIN, 0):
+        num, den = frame_rate(rate)
+        command = command.seek((2 * int(start) - 1) * den / (2 * num))
+        start, stop = 0, stop if stop == END else int(stop) - int(start)
     command = command.video_filter(FilterSpec("select", [("e", f"'{select_expression(start, stop)}'")])).video_filter(FilterSpec("setpts", [("expr", "PTS-STARTPTS")]))
-    run = subprocess.Popen(command.pixel_format("gray").output_format("rawvideo").build(), stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+    return command.pixel_format("gray").output_format("rawvideo").build()
+
+
+def decode(path: str, start: int | str, stop: int | str, width: int, height: int, rate: str | None = None) -> Iterator[bytes]:
+    """Grey frames of width x height bytes; a partial last one is dropped."""
+    if rate is None and start not in (BEGIN, 0):
+        rate = next((x.get("r_frame_rate") for x in probe(path).get("streams", []) if x.get("codec_type") == "video"), None)
+    run = subprocess.Popen(decode_command(path, start, stop, width, height, rate, find_binary("ffmpeg")), stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
     try:
         while len(raw := run.stdout.read(width * height)) == width * height:
             yield raw
@@ -147,8 +168,13 @@ def slice_frames(files: DataFrame, width: int = 32, height: int = 32) -> DataFra
 
 
 def search(spark: SparkSession, path: str, **equal: str) -> DataFrame:
-    """Search hits kept as JSON lines under path, filtered on equal columns (such as imdbid, language)."""
+    """Search hits kept as JSON lines under path, filtered on equal columns (such as imdbid, sublanguageid)."""
     hits = spark.read.json(path)
     for name, value in equal.items():
         hits = hits.where(F.col(name) == value)
     return hits
+
+
+def downloads(hits: DataFrame, files: DataFrame, key: str = "IDSubtitleFile") -> DataFrame:
+    """The files (key, value) of the hits, each once: what a download by the hits' ids gives."""
+    return files.join(hits.select(key).distinct(), key, "left_semi")

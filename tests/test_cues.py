@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from framewright.errors import InvalidMedia
+from framewright.functions import text as txt
 from framewright.functions import timeline as tl
 from framewright.operators import align, cues
 from framewright.plans import commands as cmd
@@ -116,15 +118,77 @@ def test_select_expressions():
 def test_commands():
     spec = cmd.FilterSpec("scale", [("w", 2)]).with_option("h", 3)
     assert spec.build() == "scale=w=2:h=3" and spec.without_option("w").build() == "scale=h=3"
-    args = cmd.cut_command("a", "b", 5, 9, encoder="x").build()
+    with pytest.raises(ValueError):
+        cmd.cut_command("a", "b", 5, 9)
+    args = cmd.cut_command("a", "b", 5, 9, (25, 1), encoder="x").build()
     assert args[:3] == ["ffmpeg", "-y", "-hide_banner"] and args[-1] == "b" and args.index("-vf") < args.index("-af") < args.index("-vcodec")
-    assert cmd.cat_command("l", "o").build() == ["ffmpeg", "-y", "-hide_banner", "-safe", "0", "-f", "concat", "-i", "l", "-c:v", "copy", "-c:a", "copy", "o"]
-    assert cmd.main(["--dry-run", "scale", "--width", "4", "--height", "2", "a", "b"]) == 0
+    assert cmd.cat_command("l", "o").build() == ["ffmpeg", "-y", "-hide_banner", "-safe", "0", "-f", "concat", "-i", "l", "-vcodec", "copy", "-acodec", "copy", "o"]
     assert cmd.main(["--dry-run", "cat", "a", "b"]) == -1
     with pytest.raises(FileNotFoundError):
         cmd.main(["--dry-run", "cat", "/no/a", "/no/b", "c"])
 
 
+def streams(codec="h264", sound="aac", width=1920, rate="24000/1001"):
+    return {"streams": [{"codec_type": "audio", "codec_name": sound}, {"codec_type": "video", "codec_name": codec, "width": width, "height": 804, "r_frame_rate": rate}]}
+
+
+def test_cut_takes_the_files_rate(capsys):
+    assert cmd.main(["--dry-run", "cut", "--start", "100", "--stop", "2000", "a", "b"], probe=lambda p: streams()) == 0
+    assert f"gte(t\\,{100 / (24000 / 1001)!r})*lte(t\\,{2000 / (24000 / 1001)!r})" in capsys.readouterr().out
+    assert tl.time_expression(1_234_567, "END", (25, 1)) == r"gte(t\,49382.68)"
+    for rate in ("25", "25/0", "0/1", None):
+        with pytest.raises(InvalidMedia):
+            cmd.frame_rate(rate)
+
+
+def test_cat_wants_like_inputs(tmp_path, capsys):
+    paths = [str(tmp_path / n) for n in "abc"]
+    for p in paths:
+        open(p, "w").close()
+    run = lambda *probes: cmd.main(["--dry-run", "cat", *paths[: len(probes)], "out"], probe=dict(zip(paths, probes)).__getitem__)
+    assert run(streams(), streams()) == 0 and "concat" in capsys.readouterr().out
+    assert run(streams(), streams(), streams(codec="hevc")) == run(streams(), streams(sound="mp3")) == run(streams(width=4), streams()) == -1
+    assert cmd.first_difference([streams(), streams(), streams(width=3)]) == "scale"
+
+
+def test_scale(capsys):
+    assert cmd.main(["--dry-run", "scale", "--height", "200", "a", "b"]) == 0
+    assert "scale=height=200:width=0:force_original_aspect_ratio=disable" in capsys.readouterr().out
+    assert "=increase" in cmd.scale_command("a", "b", 2, 4, aspect="increase").video_filters[0].build()
+    with pytest.raises(ValueError):
+        cmd.scale_command("a", "b", aspect="square")
+
+
+def test_filter_columns(spark):
+    spec = cmd.FilterSpec("scale", [("w", F.col("id") + 1), ("flags", "x")])
+    assert spark.range(1).select(spec.as_column().alias("s"), cmd.FilterSpec("null").as_column().alias("n")).first() == ("scale=w=1:flags=x", "null")
+
+
+def test_film_shorter_than_its_cues(spark):
+    """The cue that passes the film's end gives what is left of it, and later ones nothing."""
+    table = spark.createDataFrame([("m", k, str(k), 1000 * k, 1000 * k + 800, "t") for k in range(4)], "media_id string, cue_pos int, cue_index string, start_ms bigint, end_ms bigint, text string")
+    frames = spark.range(60).select(F.lit("m").alias("media_id"), F.col("id").alias("frame_id"), F.col("id").alias("fp"))
+    got = {}
+    for r in cues.cue_fingerprints(table, frames).orderBy("cue_pos", "emit_seq").collect():
+        got.setdefault(r.cue_pos, []).append(r.frame_id)
+    assert got == {0: [*range(0, 20), 19], 1: [*range(24, 45), 44][: len(got[1])], 2: list(range(49, 60))}
+    assert got[1][-2:] == [44, 44]
+
+
+def test_titles(spark):
+    hits = spark.createDataFrame([(0, "Turtles"), (1, "Ninja Turtles"), (2, "Ninja Turtles"), (3, None)], "pos int, title string")
+    assert align.best_title(hits, "Ninja Turtle").first().pos == 1
+    assert align.best_title(hits, "the ninjas of Turtles", func=txt.partial_ratio).first().pos == 0
+    assert txt.partial_ratio("abc", "xxabcxx") == 100 and txt.partial_ratio("", "abc") == 0 and txt.partial_ratio("abcd", "abxd") == 75
+
+
+def test_subtitle_writer(spark, tmp_path):
+    table = spark.createDataFrame([("m", k, str(k + 1), 1000 * k, 1000 * k + 500, f"t{k}") for k in range(3)], "media_id string, cue_pos int, cue_index string, start_ms bigint, end_ms bigint, text string")
+    subtitles.write_subtitles(table, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out"), wholetext=True)
+    assert [(r.media_id, r.cue_pos, r.text) for r in subtitles.parse_subtitles(back).orderBy("cue_pos").collect()] == [("m", k, f"t{k}") for k in range(3)]
+
+
 def test_subtitle_files(spark, tmp_path):
     text = "﻿1\r\n00:00:00,000 --> 00:00:03,800\r\nOne <i>two</i>\r\nthree\r\n\r\n2\r\n00:00:06,000 --> 00:00:09,000\r\nFour\r\n \r\n\r\n2\r\n01:02:03,004 --> 01:02:04,5\r\n\r\n\r\nno cue\r\n"
     (tmp_path / "a.srt").write_bytes(text.encode())

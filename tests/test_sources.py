@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from tests.conftest import data_dir
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def test_fingerprint_files(spark, tmp_path):
     assert got == set(rows) | {("ragged", 0, 0), ("ragged", 1, -1)}
 
 
-def test_keyframe_plans_agree(spark):
+def test_keyframes(spark):
     df, rows = table(spark)
     for distance, nonzero in ((8, 0), (20, 1), (0, 3)):
         want = set()
@@ -40,8 +41,49 @@ def test_keyframe_plans_agree(spark):
                 if bits >= nonzero and (last is None or bin((v ^ last) & (2**64 - 1)).count("1") >= distance):
                     want.add((m, f + 1, f, v))
                     last = v
-        for plan in (keyframes.keyframes, keyframes.keyframes_by_aggregate):
-            assert {tuple(r) for r in plan(df, distance, nonzero).collect()} == want, (plan, distance)
+        assert {tuple(r) for r in keyframes.keyframes(df, distance, nonzero).collect()} == want, distance
+
+
+def test_keyframes_of_another_distance(spark):
+    """The distance is a parameter: here how far two fingerprints are apart as numbers."""
+    df = spark.createDataFrame([("m", k, v) for k, v in enumerate([5, 6, 9, 11, 30, 2])], SCHEMA)
+    got = keyframes.keyframes(df, 4, 0, lambda fps, last: np.abs(fps - last)).orderBy("frame_id").collect()
+    assert [r.fp for r in got] == [5, 9, 30, 2]
+
+
+def test_images(spark, tmp_path):
+    frames = spark.createDataFrame([("m", 3, bytearray(range(4)))], "media_id string, frame_id bigint, gray binary")
+    assert [r.file for r in keyframes.write_images(frames, str(tmp_path / "i"), 2, 2).collect()] == ["m-3.pgm"]
+    assert (tmp_path / "i" / "m-3.pgm").read_bytes() == b"P5 2 2 255\n" + bytes(range(4))
+
+
+def test_fingerprint_table(spark, tmp_path):
+    df, rows = table(spark)
+    store.write_table(df, str(tmp_path / "t"))
+    assert {(r.media_id, r.frame_id, r.fp) for r in spark.read.schema(SCHEMA).parquet(str(tmp_path / "t")).collect()} == set(rows)
+
+
+def test_search(spark, tmp_path):
+    (tmp_path / "hits.json").write_text('{"imdbid":"1","sublanguageid":"fre","IDSubtitleFile":"a"}\n{"imdbid":"1","sublanguageid":"fre","IDSubtitleFile":"a"}\n{"imdbid":"1","sublanguageid":"eng","IDSubtitleFile":"b"}\n')
+    hits = media.search(spark, str(tmp_path / "hits.json"), imdbid="1", sublanguageid="fre")
+    files = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "three")], "IDSubtitleFile string, value string")
+    assert hits.count() == 2 and [r.value for r in media.downloads(hits, files).collect()] == ["one"]
+
+
+def test_frame_source(spark, tmp_path, monkeypatch):
+    """Ranges of frames through a decoder that is a script here: it prints as many frames as the select filter asks for."""
+    tool = tmp_path / "ffmpeg"
+    tool.write_text("#!/bin/sh\nwhile [ $# -gt 1 ]; do case $1 in -ss) s=$2;; -vf) f=$2;; esac; shift; done\nn=$(echo \"$f\" | sed 's/.*lte(n.,\\([0-9]*\\)).*/\\1/')\ni=0; while [ $i -le $n ]; do printf '%04d' $(( $(printf '%.0f' \"${s:-0}\") + i )); i=$((i+1)); done; printf x\n")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    monkeypatch.setattr(media, "find_binary", lambda name: str(tmp_path / name))
+    args = media.decode_command("a", 100, 120, 2, 2, "25/1")
+    assert args[args.index("-ss") : args.index("-i")] == ["-ss", "3.98"] and any(r"lte(n\,20)" in x for x in args)
+    reader = media.FrameSource({"path": "film", "start": "0", "stop": "9", "frames": "4", "width": "2", "height": "2", "rate": "1/1"}).reader(None)
+    parts = reader.partitions()
+    assert [(p.start, p.stop) for p in parts] == [(0, 3), (4, 7), (8, 9)]
+    assert [(i, bytes(raw)) for p in parts for _, i, raw in reader.read(p)] == [(k, b"%04d" % k) for k in range(10)]
+    assert media.frames(spark, "film", start=0, stop=9).columns == ["media_id", "frame_id", "gray"]
 
 
 def test_near_pairs(spark):
@@ -49,7 +91,7 @@ def test_near_pairs(spark):
     base = [rng.getrandbits(63) for _ in range(40)]
     values = sorted({v ^ sum(1 << b for b in rng.sample(range(63), k)) for v in base for k in (0, 3, 7, 8)})
     df = spark.createDataFrame([(v,) for v in values], "fp bigint")
-    for most in (0, 3, 7):
+    for most in (0, 2, 3, 5, 7, 8):
         want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if bin(a ^ b).count("1") <= most}
         assert {(r.a, r.b) for r in fingerprints.near_pairs(df, most).collect()} == want
 
@@ -102,6 +144,19 @@ def test_streaming_keyframes(spark, tmp_path):
     assert got == {tuple(r) for r in keyframes.keyframes(df, 16, 1).collect()}
 
 
+def test_streaming_cues(spark, tmp_path):
+    from framewright.streaming.keyframes import frames_per_second, streaming_cue_fingerprints
+
+    df, rows = table(spark, seed=2, films=1)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    shown = spark.createDataFrame([("m0", f, f // 10) for f in range(5, 25)], "media_id string, frame_id bigint, cue_pos int")
+    out = streaming_cue_fingerprints(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), shown)
+    run = out.writeStream.format("memory").queryName("shown").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert {(r.frame_id, r.cue_pos, r.fp) for r in spark.table("shown").collect()} == {(f, f // 10, fp) for _, f, fp in rows if 5 <= f < 25}
+    assert frames_per_second(run) > 0
+
+
 def test_pushdown(spark):
     from framewright.queries import QUERIES
 
