@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,14 +33,46 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share, spark.checkpoint.dir; in local mode the warehouse will do."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="framewright-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
     return at
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give memory that is free inside this process back to the system, tables for a very long text among it."""
+    if len(_powers[0]) > 1 << 20:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None and hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker (which Spark keeps for later tasks) gives its memory back."""
+
+    @functools.wraps(run)
+    def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return with_end
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
@@ -53,6 +86,13 @@ class Scratch:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """df as the one table that stays of this scratch space."""
+        kept = Scratch(self.spark)
+        out = kept.put(df, name)
+        self.drop("")
+        return out
+
     def tidy(self) -> None:
         """Let Spark remove the shuffle files of plans that are done with: it does when the driver collects garbage."""
         gc.collect()
@@ -62,7 +102,7 @@ class Scratch:
         """Delete tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -74,10 +114,10 @@ def bucket(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BUCKETS))
 
 
-def among(rows: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
-    """rows whose id may be wanted (left_semi), or is not (left_anti): by the bounded table of wanted buckets, without a shuffle of rows."""
-    own = F.broadcast(wanted.select(bucket(F.col("doc_id")).alias("_bucket")).distinct())
-    return rows.join(own, bucket(rows["doc_id"].cast("long")) == own["_bucket"], how)
+def among(rows: DataFrame, wanted: DataFrame, how: str = "left_semi", key: str = "doc_id") -> DataFrame:
+    """rows whose key may be wanted (left_semi), or is not (left_anti): by the bounded table of wanted buckets, without a shuffle of rows."""
+    own = F.broadcast(wanted.select(bucket(F.col(key)).alias("_bucket")).distinct())
+    return rows.join(own, bucket(rows[key].cast("long")) == own["_bucket"], how)
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
