@@ -2,11 +2,14 @@
 
 1. Confirm. Each text's word grams (GRAM words) are winnowed: of any REACH consecutive grams the one
    with the least hash is an anchor, so that every window of WINDOW words holds an anchor, and equal
-   windows hold the same one. An anchor that occurs in two texts or more marks a recurring passage.
-2. Locate. The documents that hold recurring anchors meet theirs again, by a join on the anchor's
-   hash, which locates every occurrence. For each run of documents an Aho-Corasick automaton
-   (pyahocorasick, over word numbers) is compiled from the anchors' phrases of those documents alone,
-   and the documents are streamed through it; at anchors it finds the same places as the join.
+   windows hold the same one. An anchor that occurs in two texts or more is a recurring phrase; its
+   words are read from one of these texts into a table of phrases.
+2. Locate. Documents are dealt to shards of about SHARD texts. Each shard's phrases - those that any
+   of its documents' anchors name - are compiled from the table into an Aho-Corasick automaton
+   (pyahocorasick, over 31-bit word symbols), and every document of the shard is streamed through it.
+   Where the automaton finds a phrase, and there alone, a phrase occurs; a document none of whose
+   anchors recurs could not meet a phrase at an anchor, and is not sent. So the automata grow with
+   the number of shards, each bounded by its documents, and not with documents times phrases.
 3. Judge. The windows of one anchor's occurrence are an extent. An extent (its words, as two
    independent 64-bit hashes) that also occurs in a document with a smaller id is owned as a whole.
    Where an anchor has extents that differ - at the edges of a passage, or round a changed word -
@@ -19,8 +22,8 @@ that a third of all documents share is combined before it is shuffled; the join
 passage is one that Spark can split.
 
 Defined results: a null text has no words, nothing removed, and an empty rest; of rows with one id
-each is judged on its own, and a window owned by the same id is not removed; an empty table gives an
-empty result; other columns are ignored (or kept, in dedup_documents). Texts are read whole.
+each is judged on its own, and a window owned by the same id is not removed (dedup_documents leaves
+such rows too, each reduced in the same way); an empty table gives an empty result; other columns are ignored (or kept, in dedup_documents). Texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,15 +35,17 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, _power_tables, among, grams, mix, shielded, text_chunks, word_chunks
+from .common import Scratch, Words, _power_tables, among, grams, lean, mix, shielded, text_chunks, trim, word_chunks
 
 WINDOW = 50
 GRAM = 17
 #: Grams in a window; winnowing takes one of any so many.
 REACH = WINDOW - GRAM + 1
+#: Texts of a shard, about.
+SHARD = 1_500
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,8 +65,8 @@ def winnow(hashes: np.ndarray, first: np.ndarray, gram: int, reach: int) -> tupl
 
 
 def emit_anchors(window: int, gram: int):
-    """(anchor, h) of every text; of equal texts in a batch, of one."""
-    schema = pa.schema([("anchor", pa.int64()), ("h", pa.int64())])
+    """(anchor, h, place) of every text; of equal texts in a batch, of one."""
+    schema = pa.schema([("anchor", pa.int64()), ("h", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,40 +76,52 @@ def emit_anchors(window: int, gram: int):
                 g, _, anchor = winnow(words.hashes, words.first, gram, window - gram + 1)
                 chosen = np.unique(anchor)
                 if len(chosen):
-                    text = pa.array(i + np.searchsorted(words.first, chosen, "right") - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(g[chosen].view(np.int64)), batch.column(0).take(text)], schema=schema)
+                    text = np.searchsorted(words.first, chosen, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(g[chosen].view(np.int64)), batch.column(0).take(pa.array(i + text)), pa.array((chosen - words.first[text]).astype(np.int32))], schema=schema)
 
-    return run
+    return lean(run)
+
+
+def symbols(words: Words) -> np.ndarray:
+    """The automata's letters: 31 bits of each word's hash."""
+    return (words.hashes >> np.uint64(33)).astype(np.int32)
+
+
+def emit_phrases(gram: int):
+    """(anchor, phrase) of the anchors that a text is to give: their words as symbols."""
+    schema = pa.schema([("anchor", pa.int64()), ("phrase", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, words in word_chunks(batch.column(0), lower=False):
+                letters, anchors, phrases = symbols(words), [], []
+                for k in range(i, j):
+                    own = batch.column(1)[k].values
+                    at = np.asarray(own.field("place")) + words.first[k - i]
+                    anchors.append(np.asarray(own.field("anchor")))
+                    phrases.append(letters[at[:, None] + np.arange(gram)])
+                flat = np.concatenate(phrases)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * gram), pa.array(flat.ravel()))], schema=schema)
+
+    return lean(run)
 
 
-def automaton(phrases: list[tuple[int, ...]]) -> ahocorasick.Automaton:
+def automaton(phrases: np.ndarray) -> ahocorasick.Automaton:
+    """Of phrases as rows of symbols."""
     found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for phrase in phrases:
-        found.add_word(phrase)
+    for phrase in phrases.tolist():
+        found.add_word(tuple(phrase))
     found.make_automaton()
     return found
 
 
-def locate(words: Words, known: list[np.ndarray], gram: int, g: np.ndarray) -> np.ndarray:
-    """Whether a recurring phrase begins at each gram's place; known: each text's recurring anchors."""
-    hit = np.zeros(len(g), bool)
-    texts = len(words.first) - 1
-    seeds = []
-    for k in range(texts):
-        own = g[words.first[k] : max(words.first[k], words.first[k + 1] - gram + 1)]
-        seeds.append(np.flatnonzero(np.isin(own, known[k])) + words.first[k])
-    seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
-    if not len(seeds):
-        return hit
-    _, number = np.unique(words.hashes, return_inverse=True)
-    _, one = np.unique(g[seeds], return_index=True)
-    machine = automaton([tuple(number[s : s + gram].tolist()) for s in seeds[one]])
-    for k in range(texts):
-        a, b = words.first[k], words.first[k + 1]
+def locate(words: Words, machine: ahocorasick.Automaton, gram: int) -> np.ndarray:
+    """Whether a phrase of the automaton begins at each word."""
+    hit, letters = np.zeros(len(words.hashes), bool), symbols(words)
+    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
         if b - a >= gram:
-            ends = [end for end, _ in machine.iter(tuple(number[a:b].tolist()))]
-            if ends:
-                hit[a + np.array(ends) - gram + 1] = True
+            ends = np.fromiter((end for end, _ in machine.iter(tuple(letters[a:b].tolist()))), np.int64)
+            hit[a + ends - gram + 1] = True
     return hit
 
 
@@ -116,17 +133,22 @@ def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+EXTENTS = "g long, e1 long, e2 long, doc_id long, h long, start int, windows int, k1 array<long>, k2 array<long>"
+
+
 def emit_extents(window: int, gram: int):
+    """Of a shard's documents and phrases: the extents of every phrase found at an anchor."""
     long = pa.int64()
     schema = pa.schema([("g", long), ("e1", long), ("e2", long), ("doc_id", long), ("h", long), ("start", pa.int32()), ("windows", pa.int32()), ("k1", pa.list_(long)), ("k2", pa.list_(long))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, texts, lists = batch.columns
-            for i, j, words in word_chunks(texts, lower=False):
+    def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
+        found = []
+        if len(docs) and len(phrases):
+            machine = automaton(np.asarray(phrases["phrase"].combine_chunks().flatten()).reshape(-1, gram))
+            ids, keys = (docs[c].combine_chunks() for c in ("doc_id", "h"))
+            for i, _, words in word_chunks(docs["text"].combine_chunks(), lower=False):
                 g, place, anchor = winnow(words.hashes, words.first, gram, window - gram + 1)
-                hit = locate(words, [np.asarray(lists[k].values).view(np.uint64) for k in range(i, j)], gram, g)
-                keep = hit[anchor]
+                keep = locate(words, machine, gram)[anchor]
                 place, anchor = place[keep], anchor[keep]
                 if not len(place):
                     continue
@@ -137,11 +159,19 @@ def emit_extents(window: int, gram: int):
                 text = pa.array(i + owner[cut])
                 extent = (span_hashes(words.hashes, start, start + count - 1 + window, seed).view(np.int64) for seed in (3, 4))
                 one, two = (pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(span_hashes(words.hashes, place, place + window, seed).view(np.int64))) for seed in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(g[anchor[cut]].view(np.int64)), *map(pa.array, extent), ids.take(text), keys.take(text), pa.array((start - words.first[owner[cut]]).astype(np.int32)), pa.array(count.astype(np.int32)), one, two], schema=schema)
+                found.append(pa.RecordBatch.from_arrays([pa.array(g[anchor[cut]].view(np.int64)), *map(pa.array, extent), ids.take(text), keys.take(text), pa.array((start - words.first[owner[cut]]).astype(np.int32)), pa.array(count.astype(np.int32)), one, two], schema=schema))
+            del machine
+            trim()
+        return pa.Table.from_batches(found, schema=schema)
 
     return run
 
 
+def second_hash(text: Column) -> Column:
+    """A second hash, so that texts are taken for equal by 128 bits."""
+    return F.shiftleft(F.hash(text).cast("long"), 32).bitwiseXOR(F.octet_length(text).cast("long"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key and text; rows with one id and one key are alike."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
@@ -151,27 +181,44 @@ def verdicts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     """doc_id, h, whole (every word goes, if there are window words) and starts (of owned windows), where anything goes."""
     scratch = Scratch(docs.sparkSession)
     rows = keyed(docs).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    groups = rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    copies = rows.select("doc_id", "h").join(groups.where("rep < last"), "h").where("doc_id > rep").select("doc_id", "h")
+    keys = ["h", "h2"]
+    twin = rows.select("doc_id", "h", second_hash(F.col("text")).alias("h2"))
+    groups = scratch.put(twin.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "groups")
+    copies = twin.join(groups.where("rep < last"), keys).where("doc_id > rep").select("doc_id", "h")
     copies = scratch.put(copies.distinct(), "copies")
 
-    marks = scratch.put(rows.select("h", "text").mapInArrow(emit_anchors(window, gram), "anchor long, h long"), "marks")
-    recurring = marks.groupBy("anchor").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("anchor")
-    lists = marks.join(recurring, "anchor").groupBy("h").agg(F.collect_set("anchor").alias("anchors"))
-    own = scratch.put(lists.join(groups, "h").select(F.col("rep").alias("doc_id"), "h", "anchors"), "own")
+    # confirm: anchors of several texts, and the words of each
+    marks = scratch.put(rows.select("h", "text").mapInArrow(emit_anchors(window, gram), "anchor long, h long, place int"), "marks")
+    recurring = marks.groupBy("anchor").agg(F.min(F.struct("h", "place")).alias("a"), F.max("h").alias("b")).where("a.h <> b")
+    recurring = scratch.put(recurring.select("anchor", "a.h", "a.place"), "recurring")
+    shards = F.lit(max(1, -(-groups.count() // SHARD)))
+    own = scratch.put(marks.select("anchor", "h").join(recurring.select("anchor"), "anchor").distinct(), "own")
     scratch.drop("marks")
-
-    met = among(rows, own).join(own.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "anchors")
-    kinds = "g long, e1 long, e2 long, doc_id long, h long, start int, windows int, k1 array<long>, k2 array<long>"
-    extents = scratch.put(met.mapInArrow(emit_extents(window, gram), kinds), "extents")
-    scratch.drop("own")
-
-    # whole extents: all windows of an anchor's occurrence at once
-    firsts = extents.groupBy("e1", "e2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    again = extents.select("e1", "e2", "doc_id", "h", "start", "windows").join(firsts.where("owner < last"), ["e1", "e2"]).where("owner < doc_id")
+    reps = groups.select("h", F.col("rep").alias("doc_id"))
+    givers = recurring.groupBy("h").agg(F.collect_list(F.struct("anchor", "place")).alias("own")).join(reps, "h")
+    givers = scratch.put(givers, "givers")
+    given = among(rows, givers).join(givers.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    phrases = scratch.put(given.select("text", "own").mapInArrow(emit_phrases(gram), "anchor long, phrase array<int>"), "phrases")
+
+    # locate: each shard's documents through the automaton of its phrases
+    shard = F.pmod(F.xxhash64("h"), shards).alias("shard")
+    named = own.select(shard, "anchor").distinct().join(phrases, "anchor").select("shard", "phrase")
+    holders = scratch.put(own.select("h").distinct().join(reps, "h"), "holders")
+    met = among(rows, holders).join(holders.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select(shard, "doc_id", "h", "text")
+    extents = met.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(emit_extents(window, gram), EXTENTS)
+    extents = scratch.put(extents, "extents")
+    scratch.drop("own", "givers", "phrases", "holders", "recurring", "groups")
+
+    # whole extents: all windows of an anchor's occurrence at once; equal extents are one row here
+    extent = ["e1", "e2"]
+    firsts = extents.groupBy(*extent).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min("g").alias("g"))
+    firsts = scratch.put(firsts, "firsts")
+    repeated = scratch.put(firsts.where("owner < last").select(*extent, "owner"), "repeated")
+    again = extents.select(*extent, "doc_id", "h", "start", "windows").join(repeated, extent).where("owner < doc_id")
     # single windows: only of anchors with more than one extent, and of each extent only where it comes first
-    mixed = extents.groupBy("g").agg(F.min("e1").alias("lo"), F.max("e1").alias("hi")).where("lo <> hi").select("g")
-    single = extents.join(mixed, "g", "left_semi").join(firsts, ["e1", "e2"]).where("owner = doc_id")
+    mixed = firsts.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
+    chosen = scratch.put(firsts.join(mixed, "g").select(*extent, "owner"), "chosen")
+    single = extents.join(chosen, extent).where("owner = doc_id")
     single = single.select("doc_id", "h", "start", F.posexplode(F.arrays_zip("k1", "k2")).alias("at", "k"))
     single = scratch.put(single.select("doc_id", "h", (F.col("start") + F.col("at")).alias("start"), "k.k1", "k.k2"), "windows")
     owners = single.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
@@ -182,9 +229,7 @@ def verdicts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     found = found.select("doc_id", "h", F.lit(False).alias("whole"), F.col("runs.start").alias("starts"), F.col("runs.windows").alias("windows"))
     none = F.array().cast("array<int>")
     found = found.unionByName(copies.select("doc_id", "h", F.lit(True).alias("whole"), none.alias("starts"), none.alias("windows")))
-    found = scratch.put(found, "verdicts")
-    scratch.drop("extents", "windows", "copies")
-    return found
+    return scratch.only(found, "verdicts")
 
 
 def with_verdicts(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -228,7 +273,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(sha, pa.string())], schema=schema)
 
     rows = with_verdicts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found)
-    return rows.select("doc_id", "text", "_whole", "_starts", "_windows").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", "_whole", "_starts", "_windows").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
