@@ -2,14 +2,18 @@
 
 A text's subwords are the 2-, 3- and 4-byte windows of its case-folded letters, every other byte
 standing for a gap. Each hashes to a row of an embedding table; the rows are averaged and a softmax
-layer reads the average. Both are trained by stochastic gradient descent in numpy, on whole texts
-and on short cuts of them, from a bounded sample (SAMPLE) of the labelled rows, spread evenly over
-the languages. Because the model is linear after the average, it is sent out as one small table of
-subword logits, whose size does not depend on the data.
-
-Rejection is calibrated on a part of the sample kept out of training: a temperature is fitted to
-its log-likelihood, and a text is rejected when its probability, or the share of its subwords that
-training has seen, lies below what all but REJECT of those texts reach, with a margin.
+layer reads the average. Both are trained by stochastic gradient descent in numpy, on cuts of CUTS
+subwords of a bounded sample (SAMPLE) of the labelled rows, spread evenly over the languages. Because
+the model is linear after the average, it is sent out as one small table of subword logits, whose
+size does not depend on the data. At most LANGUAGES languages, the commonest, are told apart.
+
+Rejection is calibrated on a part of the sample kept out of training. A temperature is fitted to its
+log-likelihood. How strange a text is, is the mean log share of its subwords in the training texts
+of the language it is taken for, as a number of deviations from that language's kept-out texts, whose
+spread shrinks with length. The bound lies between what all but REJECT of the kept-out texts reach
+and what texts of each language reach when that language is left out of training: nearer to the
+former, so that known languages stay. A text beyond it, or of a probability below what all but
+REJECT of the kept-out texts have, with a margin, is rejected.
 
 Defined results: a null text, an empty one or one without letters is 'und' with score 0, and
 rejected; without labelled rows every text is 'und'; equal rows give equal results; long texts are
@@ -26,13 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GAP, fold_case, shielded, text_chunks
-
-#: Labelled rows that the model is fitted to, at most about.
-SAMPLE = 4_000
-BUCKET_BITS, WIDTH, EPOCHS, RATE = 12, 16, 8, 8.0
-#: Share of the calibration texts that may fall short of a threshold.
-REJECT = 0.001
+from .common import _GAP, fold_case, lean, shielded, text_chunks, trim
+
+#: Labelled rows that the model is fitted to, at most about; languages, at most.
+SAMPLE, LANGUAGES = 4_000, 400
+BUCKET_BITS, WIDTH, RATE = 17, 16, 8.0
+#: Passes over the sample: about STEPS rows in all, EPOCHS passes at least and LONGEST at most.
+EPOCHS, LONGEST, STEPS = 8, 80, 60_000
+#: Sizes of the cuts that are learned from, in subwords.
+CUTS = (15, 400)
+#: Share of the calibration texts that may fall short of a threshold; how far the bound lies towards strange texts.
+REJECT, TOWARDS = 0.001, 0.2
+#: Weight of subwords never seen, spread over all buckets; bytes that are scored at a time.
+PRIOR, CHUNK = 1.0, 1 << 18
 UNKNOWN = "und"
 
 
@@ -61,7 +71,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def text_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values over each text's entries."""
     total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=total[1:])
+    np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
 
 
@@ -75,25 +85,32 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    logits: np.ndarray  # of each bucket, divided by the temperature
+    table: np.ndarray  # of each bucket: its logits, divided by the temperature, then its log share in each language
     bias: np.ndarray
-    seen: np.ndarray
+    #: of each language: mean log share of its texts, and their variance as a + b / subwords
+    mean: np.ndarray
+    spread: np.ndarray
     least_score: float
-    least_seen: float
+    least_likeness: float
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the best language (-1: none), its probability, and whether it is rejected."""
-        n = len(offsets) - 1
-        if not self.languages:
+        n, known = len(offsets) - 1, len(self.languages)
+        if not known:
             return np.full(n, -1), np.zeros(n), np.ones(n, bool)
         found, first = subwords(data, offsets)
-        count = np.maximum(np.diff(first), 1)[:, None]
-        scores = softmax(text_sums(self.logits[found], first) / count + self.bias)
-        known = text_sums(self.seen[found], first) / count[:, 0]
+        count = np.diff(first)
+        means = text_sums(self.table[found], first) / np.maximum(count, 1)[:, None]
+        scores = softmax(means[:, :known] + self.bias)
         none = ~has_letter(data, offsets)
         best = scores.argmax(1)
         score = np.where(none, 0.0, scores[np.arange(n), best])
-        return np.where(none, -1, best), score, none | (score < self.least_score) | (known < self.least_seen)
+        like = self.likeness(means[np.arange(n), known + best], best, count)
+        return np.where(none, -1, best), score, none | (score < self.least_score) | (like < self.least_likeness)
+
+    def likeness(self, share: np.ndarray, lang: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Deviations from the mean of the language's texts of this size."""
+        return (share - self.mean[lang]) / np.sqrt(self.spread[lang, 0] + self.spread[lang, 1] / np.maximum(count, 1))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -102,102 +119,127 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, kind (0: whole text, 1: a short cut), buckets and their counts."""
+    """lang and the buckets of two cuts of each text."""
     for batch in batches:
-        for i, j, data, offsets in text_chunks(batch.column(2)):
+        for i, j, data, offsets in text_chunks(batch.column(2), CHUNK):
             found, first = subwords(data, offsets)
-            out = {"key": [], "lang": [], "kind": [], "bucket": [], "count": []}
+            out = {"key": [], "lang": [], "bucket": []}
             for k in range(j - i):
                 own = found[first[k] : first[k + 1]]
                 key = batch.column(0)[i + k].as_py()
                 rng = np.random.default_rng((key or 0) % (1 << 32))
-                size = int(rng.integers(15, 400))
-                at = int(rng.integers(0, max(1, len(own) - size)))
-                for kind, part in enumerate((own, own[at : at + size])):
-                    bucket, count = np.unique(part, return_counts=True)
+                for _ in range(2):
+                    size = int(rng.integers(*CUTS))
+                    at = int(rng.integers(0, max(1, len(own) - size)))
                     out["key"].append(key)
                     out["lang"].append(batch.column(1)[i + k].as_py())
-                    out["kind"].append(kind)
-                    out["bucket"].append(bucket.astype(np.int32))
-                    out["count"].append(count.astype(np.int32))
+                    out["bucket"].append(own[at : at + size].astype(np.int32))
             yield pa.RecordBatch.from_pydict(out, schema=_SAMPLED)
 
 
-_SAMPLED = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("kind", pa.int32()), ("bucket", pa.list_(pa.int32())), ("count", pa.list_(pa.int32()))])
+_SAMPLED = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("bucket", pa.list_(pa.int32()))])
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Model:
     """Model of labelled's text and lang columns; doc_id only chooses the sample."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").collect()}
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = {r["lang"]: r["count"] for r in sorted(common, key=lambda r: r["lang"])}
     if not sizes:
-        return Model([], np.zeros((1, 0)), np.zeros(0), np.zeros(1), 1.0, 1.0)
-    each = sample / len(sizes)
-    chosen = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    for lang, n in sizes.items():
-        chosen = chosen | (F.col("lang") == lang) & (draw < int(min(1.0, each / n) * (1 << 30)))
-    rows = labelled.where(chosen).select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(_sampled, "key long, lang string, kind int, bucket array<int>, count array<int>")
-    table = rows.toArrow().sort_by([("key", "ascending"), ("lang", "ascending"), ("kind", "ascending")])
+        return Model([], np.zeros((1, 0)), np.zeros(0), np.zeros(0), np.zeros((0, 2)), 1.0, 0.0)
+    shares = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample / len(sizes) / n) * (1 << 30)))))
+    chosen = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))
+    rows = labelled.where(chosen).select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(lean(_sampled), "key long, lang string, bucket array<int>")
+    table = rows.toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
     languages = sorted(sizes)
-    y = np.array([languages.index(x) for x in table["lang"].to_pylist()])
-    whole = np.array(table["kind"]) == 0
-    bucket, count = (table[c].combine_chunks() for c in ("bucket", "count"))
-    cuts = np.asarray(bucket.offsets)
-    flat, times = np.asarray(bucket.values), np.asarray(count.values).astype(np.float32)
-    own = [(flat[i:j], times[i:j] / times[i:j].sum()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    keep_out = (np.arange(len(y)) // 2) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
-    return train(languages, own, y, whole, keep_out, seed)
-
-
-def train(languages: list[str], rows: list, y: np.ndarray, whole: np.ndarray, keep_out: np.ndarray, seed: int) -> Model:
+    number = {x: k for k, x in enumerate(languages)}
+    y = np.array([number[x] for x in table["lang"].to_pylist()], int)
+    bucket = table["bucket"].combine_chunks()
+    first = np.asarray(bucket.offsets).astype(np.int64)
+    model = train(languages, np.asarray(bucket.values)[first[0] :].copy(), first - first[0], y, seed)
+    del table, bucket
+    trim()
+    return model
+
+
+def train(languages: list[str], flat: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int) -> Model:
+    """Model of cuts (two of a text side by side): flat[first[k]:first[k + 1]] of language y[k]."""
     rng = np.random.default_rng(seed)
-    buckets, n_lang = 1 << BUCKET_BITS, len(languages)
+    buckets, n_lang, size = 1 << BUCKET_BITS, len(languages), np.diff(first)
     embed = rng.normal(0, 0.1, (buckets, WIDTH)).astype(np.float32)
     out, bias = rng.normal(0, 0.3, (WIDTH, n_lang)).astype(np.float32), np.zeros(n_lang, np.float32)
-
-    def dense(which: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(which), buckets), np.float32)
-        for k, i in enumerate(which):
-            x[k, rows[i][0]] = rows[i][1]
-        return x
-
-    train_rows = np.flatnonzero(~keep_out & np.array([len(b) > 0 for b, _ in rows]))
-    seen = np.zeros(buckets)
-    for i in train_rows:
-        seen[rows[i][0]] += 1
-    steps = max(1, EPOCHS * max(1, len(train_rows) // 64))
-    epochs = max(EPOCHS, min(80, 40_000 // max(1, len(train_rows))))
-    done = 0
+    keep_out = (np.arange(len(y)) // 2) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
+    learned = np.flatnonzero(~keep_out & (size > 0))
+    epochs = max(EPOCHS, min(LONGEST, STEPS // max(1, len(learned))))
+    steps, done = epochs * max(1, -(-len(learned) // 64)), 0
     for _ in range(epochs):
-        rng.shuffle(train_rows)
-        for at in range(0, len(train_rows), 64):
-            which = train_rows[at : at + 64]
-            rate = RATE * max(0.05, 1 - done / (steps * epochs / EPOCHS))
+        rng.shuffle(learned)
+        for at in range(0, len(learned), 64):
+            which = learned[at : at + 64]
+            rate = RATE * max(0.05, 1 - done / steps)
             done += 1
-            x = dense(which)
-            mean = x @ embed
+            own = np.concatenate([flat[first[k] : first[k + 1]] for k in which])
+            n = size[which]
+            starts, owner = np.cumsum(n) - n, np.repeat(np.arange(len(which)), n)
+            mean = np.add.reduceat(embed[own], starts) / n[:, None]
             g = softmax(mean @ out + bias)
             g[np.arange(len(which)), y[which]] -= 1
             g /= len(which)
-            back = g @ out.T
-            out -= 0.1 * rate * (mean.T @ g)
-            bias -= 0.01 * rate * g.sum(0)
-            used = np.flatnonzero(x.any(0))
-            embed[used] -= rate * WIDTH * (x[:, used].T @ back)
-    table = (embed @ out).astype(np.float64)
-    held = np.flatnonzero(keep_out) if keep_out.any() else train_rows
-    scores = np.array([rows[i][1] @ table[rows[i][0]] + bias if len(rows[i][0]) else bias for i in held])
+            back = (g @ out.T / n[:, None]).astype(np.float32)
+            out -= (0.1 * rate * (mean.T @ g)).astype(np.float32)
+            bias -= (0.01 * rate * g.sum(0)).astype(np.float32)
+            order = np.argsort(own, kind="stable")
+            used, cut = np.unique(own[order], return_index=True)
+            embed[used] -= rate * WIDTH * np.add.reduceat(back[owner[order]], cut)
+    logits = (embed @ out).astype(np.float64)
+
+    held = np.flatnonzero((keep_out if keep_out.any() else ~keep_out) & (size > 0))
+    counts = np.zeros((buckets, n_lang))
+    for lang in range(n_lang):
+        own = [flat[first[k] : first[k + 1]] for k in learned[y[learned] == lang]]
+        counts[:, lang] = np.bincount(np.concatenate(own), minlength=buckets) if own else 0
+    shares = np.log((counts + PRIOR / buckets) / (counts.sum(0) + PRIOR))
+    table = np.concatenate([logits, shares], 1)
+    means = np.stack([table[flat[first[k] : first[k + 1]]].mean(0) for k in held]) if len(held) else np.zeros((0, 2 * n_lang))
+    scores, like, truth, n = means[:, :n_lang] + bias, means[:, n_lang:], y[held], size[held]
     grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
-    loss = [-np.log(np.maximum(softmax(scores / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
+    loss = [-np.log(np.maximum(softmax(scores / t)[np.arange(len(held)), truth], 1e-12)).mean() if len(held) else 0.0 for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    best = softmax(scores / temperature).max(1)
-    known = np.array([rows[i][1] @ (seen[rows[i][0]] > 0) for i in held])
-    return Model(languages, table / temperature, bias / temperature, (seen > 0).astype(np.float64), 0.8 * float(np.quantile(best, REJECT)), 0.8 * float(np.quantile(known, REJECT)))
+    table[:, :n_lang] /= temperature
+    model = Model(languages, table.astype(np.float32), bias / temperature, np.zeros(n_lang), np.ones((n_lang, 2)), 0.0, -np.inf)
+    if not len(held):
+        return model
+    for lang in range(n_lang):
+        own = truth == lang
+        if own.any():
+            model.mean[lang] = np.median(like[own, lang])
+            off = (like[own, lang] - model.mean[lang]) ** 2
+            short = off[n[own] <= np.median(n[own])].mean() if len(off) > 3 else 1.0
+            long = off[n[own] > np.median(n[own])].mean() if (n[own] > np.median(n[own])).any() else short
+            a, b = 1 / max(1.0, n[own].mean()), 1 / max(1.0, n[own][n[own] <= np.median(n[own])].mean())
+            slope = max((short - long) / max(b - a, 1e-6), 0.1)
+            model.spread[lang] = max(long - slope * a, 0.01), slope
+    best = scores.argmax(1)
+    model.least_score = 0.8 * float(np.quantile(softmax(scores / temperature).max(1), REJECT))
+    inside = model.likeness(like[np.arange(len(held)), best], best, n)
+    low = float(np.quantile(inside, REJECT))
+    # each language left out in turn: its texts are taken for another, whose shares hold none of them
+    strange = []
+    for lang in range(n_lang):
+        own = np.flatnonzero(truth == lang)
+        if n_lang > 1 and len(own):
+            without = np.where(np.arange(n_lang) == lang, -np.inf, scores[own])
+            taken = without.argmax(1)
+            strange.append(model.likeness(like[own, taken], taken, n[own]))
+    high = float(np.quantile(np.concatenate(strange), 0.9)) if strange else low
+    model.least_likeness = low - max(TOWARDS * (low - high), 1.0)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred, score and rejected of every text."""
+    """The kept columns, lang_pred, lang_score and rejected of every text."""
+    if clash := {*keep} & {"lang_pred", "lang_score", "rejected"}:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +247,13 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for i, j, data, offsets in text_chunks(column):
+            for i, j, data, offsets in text_chunks(column, CHUNK):
                 best, score, rejected = model.predict(data, offsets)
                 own = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*(f"_k{k}" for k in range(len(keep))), "_lang", "_score", "_rejected"])
 
     kinds = ", ".join(f"_k{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    out = docs.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(keep)), F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, _lang string, _score double, _rejected boolean")
+    out = docs.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(keep)), F.col("text").alias("_text")).mapInArrow(lean(run), f"{kinds}, _lang string, _score double, _rejected boolean")
     return out.toDF(*keep, "lang_pred", "lang_score", "rejected")
 
 

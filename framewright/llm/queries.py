@@ -24,7 +24,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
     model = language_id.fit(docs.where(~F.col("held_out")))
     found = language_id.predict(docs, model, ("doc_id", "held_out"))
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "rejected")
@@ -47,8 +47,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
-    model = quality.fit(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+    model = quality.fit(docs, read(spark, sf_dir, "labels").where(F.coalesce(fold("doc_id", 4) != 2, F.lit(True))))
     return quality.score(docs, model, ("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
@@ -57,8 +57,8 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(F.coalesce(fold("doc_id", 3) != 1, F.lit(True))))
     return toxicity.score(docs, model, ("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
