@@ -13,8 +13,8 @@ the threshold it cannot retrieve anything of that group, so nothing is lost. Wha
 sentence) and answer (the last) must each share at least OVERLAP of their word trigrams with the
 passage (short parts: their words in sequence).
 
-The index goes to every executor only in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words;
-more items make more blocks, each of which all documents are held against. Their number, mean and
+The index goes to every executor only in blocks of about BLOCK_ITEMS items and BLOCK_WORDS words at
+most; more items make more blocks, dealt by hash, each of which all documents are held against. Their number, mean and
 largest length and their terms' frequencies are taken over all items first, so that scores and
 passages do not depend on the blocks.
 
@@ -34,10 +34,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, grams, shielded, without, word_chunks, word_hash
+from .common import Scratch, grams, lean, shielded, without, word_chunks, word_hash
 
 THRESHOLD, OVERLAP = 0.7, 0.6
 K1, B = 1.2, 0.75
@@ -45,7 +44,7 @@ K1, B = 1.2, 0.75
 GROUPS = 32
 #: Leading bits of the table that a word's hash is looked up in first.
 BITS = 18
-POSTINGS_BLOCK, BLOCK_ITEMS, BLOCK_WORDS = 32, 20_000, 2_000_000
+POSTINGS_BLOCK, BLOCK_ITEMS, BLOCK_WORDS = 32, 20_000, 500_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -249,16 +248,18 @@ def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], S
         yield sorted(map(tuple, items.collect())), None
         return
     scratch = Scratch(benchmark.sparkSession)
-    part = scratch.put(items.withColumn("block", F.ntile(blocks).over(W.orderBy("item_id", "text"))), "items")
+    part = scratch.put(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")), "items")
     terms = scratch.put(part.select("block", "text").mapInArrow(_terms, "block int, size long, terms array<long>"), "terms")
     whole = terms.agg(F.count("*"), F.sum("size"), F.max("size")).first()
     each = terms.select("block", F.explode("terms").alias("term")).groupBy("block", "term").agg(F.count("*").alias("n"))
     total = each.groupBy("term").agg(F.sum("n").alias("df"))
     df = scratch.put(each.select("block", "term").join(total, "term"), "frequencies")
-    for k in range(1, blocks + 1):
+    for k in range(blocks):
         own = df.where(F.col("block") == k).select("term", "df").toArrow()
         of = dict(zip(np.asarray(own["term"]).view(np.uint64).tolist(), own["df"].to_pylist(), strict=True))
         rows = sorted((r.item_id, r.text) for r in part.where(F.col("block") == k).collect())
+        if not rows:
+            continue
         yield rows, Statistics(whole[0], (whole[1] or 0) / max(1, whole[0]), whole[2] or 1, of)
 
 
@@ -276,7 +277,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LEAKS, strict=True)], schema=_LEAKS)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LEAKS)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), LEAKS)
         found = part if found is None else found.unionByName(part)
     return found
 
