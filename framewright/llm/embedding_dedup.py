@@ -2,18 +2,24 @@
 
 Vectors of length one with cosine at least NEAR lie within sqrt(2 - 2 NEAR) of each other. Equal
 vectors are one point with a number of copies. Points are dealt to cells round pivots (a farthest-
-first net of a bounded sample, the top of the cover tree), and large cells are cut into blocks of
-about BLOCK points, so no vector, however common, fills a task by itself.
+first net of a bounded sample, the top of the cover tree); cells of more than BLOCK points are dealt
+again round points of their own, and what is then still large is cut, so no vector, however common,
+fills a task by itself.
 
 Each block becomes a cover tree: nested levels whose radii halve, every node with a centre and the
 true covering radius of its points, points of a node side by side. Two blocks are compared unless
 their covering radii keep them apart; a task walks both trees at once and drops every pair of nodes
-whose centres are further apart than the threshold plus both covering radii. What is left at the
-leaves is compared by cosine in double precision. So the pairs are exact. A task returns, for each
-point, how many vectors it links with and the smallest id its links reach, never the pairs.
+whose centres are further apart than the threshold plus both covering radii. All distances are taken
+in double precision, where rounding moves none by more than SLACK. What is left at the leaves is
+compared by cosine in double precision. So the pairs are exact. A task returns, for each point, how
+many vectors it links with and the smallest id its links reach, never the pairs.
+
+Which blocks meet is found by tiles of their summaries, on the executors. Blocks are gathered in
+squads, and a task holds two squads: a block travels once for each squad, not for each block.
 
 How much the bounds prune depends on the vectors: clusters are cheap, but for vectors that are
-spread evenly over many dimensions all blocks meet, and the work grows with the square.
+spread evenly over many dimensions all blocks meet, and the work grows with the square. Where the
+bounds part less than half of two nodes' children, these are compared at once instead of one by one.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component link
 with nothing and are kept; vectors of different lengths never link; equal rows link like equal
@@ -31,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread_sample
+from .common import Scratch, lean, spread_sample
 from .components import components
 
 NEAR = 0.9
 #: Points of a block, about; vectors that pivots are chosen from, at most about; leaves' points.
 BLOCK, SAMPLE, LEAF = 8_192, 4_096, 24
 #: What rounding may do to a distance.
-SLACK = 1e-4
+SLACK = 1e-7
+#: Blocks of a squad, and squads at least if there are as many blocks; summaries of a tile.
+SQUAD, SQUADS, SUMMARIES = 16, 8, 4_096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -47,8 +55,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of unit vectors, in single precision: good to SLACK."""
-    return np.sqrt(np.maximum(2 - 2 * (a.astype(np.float32) @ b.astype(np.float32).T), 0))
+    """Of unit vectors: good to SLACK, which is what the root makes of a product's rounding near zero."""
+    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
 def net(x: np.ndarray, radius: float, step: int = 512) -> np.ndarray:
@@ -109,7 +117,19 @@ class CoverTree:
             at += 1
         self.start, self.end, self.centre, self.radius, self.low, self.high = (np.array(c) for c in zip(*rows, strict=True))
         self.x = x[self.order]
-        self.centres = self.x[self.centre].astype(np.float32)
+        self.centres = self.x[self.centre]
+
+    def pack(self, vectors: np.ndarray) -> tuple:
+        """What unpack needs: the vectors themselves, in tree order, are half as wide as the unit vectors."""
+        return vectors[self.order], self.start, self.end, self.centre, self.radius, self.low, self.high
+
+    @classmethod
+    def unpack(cls, vectors: np.ndarray, *nodes: np.ndarray) -> CoverTree:
+        tree = cls.__new__(cls)
+        tree.start, tree.end, tree.centre, tree.radius, tree.low, tree.high = nodes
+        tree.x = unit(vectors)
+        tree.centres = tree.x[tree.centre]
+        return tree
 
 
 def dual(a: CoverTree, b: CoverTree, reach: float, step: int = 1024) -> Iterator[tuple[slice, slice]]:
@@ -167,31 +187,68 @@ def compare(a: CoverTree, ids_a, copies_a, b: CoverTree, ids_b, copies_b, near:
     return links_a, links_b, root_a, root_b
 
 
-def _prepare(near: float):
+def _prepare(kind: str):
     """One row per block: its tree, and the block's centre and covering radius."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
-        tree = CoverTree(unit(np.stack(pdf["v"].to_list())))
-        payload = pickle.dumps((tree, pdf["rep"].to_numpy()[tree.order], pdf["copies"].to_numpy()[tree.order]))
+        vectors = np.stack(pdf["v"].to_list()).astype(kind)
+        tree = CoverTree(unit(vectors))
+        payload = pickle.dumps((tree.pack(vectors), pdf["rep"].to_numpy()[tree.order], pdf["copies"].to_numpy()[tree.order]))
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "size": [tree.x.shape[1]], "centre": [tree.x[0]], "radius": [float(tree.radius[0])], "payload": [payload]})
 
     return run
 
 
+def _neighbours(near: float):
+    """Of a tile of summaries (those of part i, then of part j): the pairs of blocks that may hold links."""
+    reach = float(np.sqrt(2 - 2 * near))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, own in pdf.groupby("size"):
+            left, right = own[own["part"] == own["i"]], own[own["part"] == own["j"]]
+            if len(left) and len(right):
+                d = distance(np.stack(left["centre"].to_list()), np.stack(right["centre"].to_list()))
+                x, y = np.nonzero(d <= reach + SLACK + left["radius"].to_numpy()[:, None] + right["radius"].to_numpy()[None, :])
+                found.append(pd.DataFrame({"a": left["block"].to_numpy()[x], "b": right["block"].to_numpy()[y], "squad_a": left["squad"].to_numpy()[x], "squad_b": right["squad"].to_numpy()[y]}))
+        if not found:
+            return pd.DataFrame({"a": pd.Series([], dtype=str), "b": pd.Series([], dtype=str), "squad_a": pd.Series([], dtype="int64"), "squad_b": pd.Series([], dtype="int64")})
+        out = pd.concat(found, ignore_index=True)
+        low = ((out["squad_a"] < out["squad_b"]) | (out["squad_a"] == out["squad_b"]) & (out["a"] <= out["b"])).to_numpy()
+        first, second = out[["a", "squad_a"]].to_numpy(), out[["b", "squad_b"]].to_numpy()
+        one, two = np.where(low[:, None], first, second), np.where(low[:, None], second, first)
+        out = pd.DataFrame({"a": one[:, 0], "b": two[:, 0], "squad_a": one[:, 1], "squad_b": two[:, 1]}).drop_duplicates()
+        return out.astype({"squad_a": "int64", "squad_b": "int64"})
+
+    return run
+
+
 def _meet(near: float):
+    """Of two squads' blocks and the pairs of them that meet: links and roots of their points."""
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
-                a, ids_a, copies_a = pickle.loads(batch.column(2)[k].as_py())
-                b, ids_b, copies_b = (a, ids_a, copies_a) if same else pickle.loads(batch.column(3)[k].as_py())
+    def run(blocks: pa.Table, pairs: pa.Table) -> pa.Table:
+        found = []
+        raw = dict(zip(blocks["block"].to_pylist(), blocks["payload"], strict=True))
+        by: dict[str, list[str]] = {}
+        for a, b in sorted(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)):
+            by.setdefault(a, []).append(b)
+
+        def load(block: str) -> tuple:
+            packed, ids, copies = pickle.loads(raw[block].as_py())
+            return CoverTree.unpack(*packed), ids, copies
+
+        for first, others in by.items():
+            a, ids_a, copies_a = load(first)
+            for other in others:
+                same = first == other
+                b, ids_b, copies_b = (a, ids_a, copies_a) if same else load(other)
                 links_a, links_b, root_a, root_b = compare(a, ids_a, copies_a, b, ids_b, copies_b, near, same)
                 for ids, links, roots in ((ids_a, links_a, root_a),) if same else ((ids_a, links_a, root_a), (ids_b, links_b, root_b)):
                     some = links > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(roots[some])], schema=schema)
+                    found.append(pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(roots[some])], schema=schema))
+        return pa.Table.from_batches(found, schema=schema)
 
     return run
 
@@ -213,28 +270,19 @@ def pivots(points: DataFrame, count: int) -> dict[int, np.ndarray]:
     return out
 
 
-def near_duplicates(vectors: DataFrame, near: float = NEAR, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector."""
-    scratch, sc = Scratch(vectors.sparkSession), vectors.sparkSession.sparkContext
-    v = F.col("embedding")
-    norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    sound = F.coalesce(sound & (norm > 0) & (norm < float("inf")), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound & F.col("vec_id").isNotNull(), v).alias("v"))
-    rows = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    points = rows.where("v is not null").groupBy("h").agg(F.min(F.struct("vec_id", "v")).alias("p"), F.count("*").alias("copies"))
-    points = scratch.put(points.select("h", F.col("p.vec_id").alias("rep"), F.col("p.v").alias("v"), "copies"), "points")
+def cells(points: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """(rep, block): points near one another, about block of them in each."""
     n = points.count()
-    shared = sc.broadcast(pivots(points, max(1, -(-n // block))))
+    shared = points.sparkSession.sparkContext.broadcast(pivots(points, max(1, -(-n // block))))
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
         starts = dict(zip(centres, np.cumsum([0, *map(len, centres.values())])[:-1], strict=True))
         spare = sum(map(len, centres.values()))
         for batch in batches:
-            cell = []
             for at in range(0, len(batch), 2048):
-                x = batch.column(1).slice(at, 2048).to_pylist()
+                part = batch.slice(at, 2048)
+                x = part.column(1).to_pylist()
                 sizes = np.array([len(v) for v in x])
                 own = np.zeros(len(x), np.int64)
                 for size in np.unique(sizes):
@@ -243,40 +291,81 @@ def near_duplicates(vectors: DataFrame, near: float = NEAR, block: int = BLOCK)
                         own[which] = starts[int(size)] + distance(unit(np.array([x[i] for i in which])), centres[int(size)]).argmin(1)
                     else:
                         own[which] = spare + int(size)
-                cell.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(cell) if cell else np.zeros(0, np.int64))], names=["rep", "cell"])
-
-    placed = scratch.put(points.select("rep", "v").mapInArrow(cells, "rep long, cell long"), "cells")
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
-    dealt = placed.join(parts, "cell").select("rep", F.concat_ws("-", "cell", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
-    kind = points.schema["v"].dataType.simpleString()
-    grouped = points.join(dealt.hint("merge"), "rep").select("block", "rep", "copies", F.col("v").cast(kind).alias("v"))
-    blocks = grouped.groupBy("block").applyInPandas(_prepare(near), "block string, size int, centre array<double>, radius double, payload binary")
-    blocks = scratch.put(blocks, "blocks")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own)], names=["rep", "cell"])
+
+    placed = scratch.put(points.select("rep", "v").mapInArrow(lean(nearest), "rep long, cell long"), "cells")
+    shared.destroy()
+    large = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = scratch.put(large.select("cell", "n", F.ceil(F.col("n") / block).alias("parts")), "large")
+    if large.isEmpty():
+        return placed.select("rep", F.col("cell").cast("string").alias("block"))
+    # about 2 * parts points of a large cell, drawn by hash, are centres of its own; as many as the cell has blocks, so few
+    share = 2 * F.col("parts") / F.col("n") * F.lit(float(1 << 30))
+    again = placed.join(large, "cell")
+    drawn = again.where(F.pmod(F.xxhash64("rep", F.lit(31)), F.lit(1 << 30)) < share).select("rep", "cell").join(points.select("rep", "v"), "rep")
+    centres = scratch.put(drawn.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("rep", "v"))).alias("centres")), "centres")
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, own = np.asarray(batch.column(1)), np.zeros(len(batch), np.int64)
+            for c in np.unique(cell):
+                which = np.flatnonzero(cell == c)
+                near = batch.column(3)[int(which[0])].as_py()
+                if near:
+                    x = unit(np.array(batch.column(2).take(pa.array(which)).to_pylist()))
+                    own[which] = distance(x, unit(np.array([p["v"] for p in near]))).argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["rep", "cell", "sub"])
+
+    # vectors of one length share a cell, so they stack
+    rows = again.select("rep", "cell").join(points.select("rep", "v"), "rep").join(centres.select("cell", F.col("centres").alias("c")), "cell", "left")
+    fine = scratch.put(rows.select("rep", "cell", "v", "c").mapInArrow(lean(inner), "rep long, cell long, sub long"), "fine")
+    sizes = scratch.put(fine.groupBy("cell", "sub").agg(F.ceil(F.count("*") / (2 * block)).alias("parts")), "fine-sizes")
+    fine = fine.join(sizes, ["cell", "sub"]).select("rep", F.concat_ws("-", "cell", "sub", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+    small = placed.join(large.select("cell"), "cell", "left_anti").select("rep", F.col("cell").cast("string").alias("block"))
+    return small.unionByName(fine)
 
-    summary = blocks.select("block", "size", "centre", "radius").toArrow().sort_by("block").to_pylist()
-    reach, pairs = float(np.sqrt(2 - 2 * near)), []
-    for i, a in enumerate(summary):
-        rest = [b for b in summary[i:] if b["size"] == a["size"]]
-        d = distance(np.array([a["centre"]]), np.array([b["centre"] for b in rest]))[0]
-        pairs += [(a["block"], b["block"]) for b, x in zip(rest, d, strict=True) if x <= reach + SLACK + a["radius"] + b["radius"]]
-    if not pairs:
-        links = None
-    else:
-        todo = vectors.sparkSession.createDataFrame(pairs, "a string, b string").repartition(min(len(pairs), 2_000), "a", "b")
-        payload = blocks.select("block", "payload")
-        met = todo.join(payload.select(F.col("block").alias("a"), F.col("payload").alias("x")), "a").join(payload.select(F.col("block").alias("b"), F.col("payload").alias("y")), "b")
-        met = met.select("a", "b", "x", "y").repartition(min(len(pairs), 2_000), "a", "b")
-        links = scratch.put(met.mapInArrow(_meet(near), "rep long, links long, root long"), "links")
-    result = rows.join(points.select("h", "rep", "copies").hint("merge"), "h", "left")
-    if links is not None:
+
+def near_duplicates(vectors: DataFrame, near: float = NEAR, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    scratch = Scratch(vectors.sparkSession)
+    v = F.col("embedding")
+    norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.coalesce(sound & (norm > 0) & (norm < float("inf")), F.lit(False))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound & F.col("vec_id").isNotNull(), v).alias("v"))
+    # equal vectors are known by 128 bits
+    keys = ["h", "h2"]
+    rows = rows.select("vec_id", "v", *(F.when(F.col("v").isNotNull(), F.xxhash64(x)).alias(k) for k, x in zip(keys, (F.col("v"), F.reverse("v")), strict=True)))
+    points = rows.where("v is not null").groupBy(*keys).agg(F.min(F.struct("vec_id", "v")).alias("p"), F.count("*").alias("copies"))
+    points = scratch.put(points.select(*keys, F.col("p.vec_id").alias("rep"), F.col("p.v").alias("v"), "copies"), "points")
+    kind = "float32" if points.schema["v"].dataType.elementType.simpleString() == "float" else "float64"
+    grouped = points.join(cells(points, block, scratch).hint("merge"), "rep").select("block", "rep", "copies", "v")
+    blocks = grouped.groupBy("block").applyInPandas(_prepare(kind), "block string, size int, centre array<double>, radius double, payload binary")
+    blocks = scratch.put(blocks, "blocks")
+    n = blocks.count()
+    if n:
+        squads = min(n, max(SQUADS, -(-n // SQUAD)))
+        squad = F.pmod(F.xxhash64("block"), F.lit(squads)).alias("squad")
+        parts = max(1, -(-n // SUMMARIES))
+        part = F.pmod(F.xxhash64("block", F.lit(1)), F.lit(parts)).cast("int")
+        summary = blocks.select("block", "size", "centre", "radius", squad, part.alias("part"))
+        with_part = lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j"))
+        tiles = summary.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), with_part))).select("block", "size", "centre", "radius", "squad", "part", "t.*")
+        pairs = scratch.put(tiles.groupBy("i", "j").applyInPandas(_neighbours(near), "a string, b string, squad_a long, squad_b long"), "pairs")
+        wanted = scratch.put(pairs.select("squad_a", "squad_b", F.explode(F.array("a", "b")).alias("block")).distinct(), "wanted")
+        held = wanted.join(blocks.select("block", "payload"), "block")
+        keyed = held.groupBy("squad_a", "squad_b").cogroup(pairs.groupBy("squad_a", "squad_b"))
+        links = scratch.put(keyed.applyInArrow(_meet(near), "rep long, links long, root long"), "links")
+    result = rows.join(points.select(*keys, "rep", "copies").hint("merge"), keys, "left")
+    if n:
         roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
         counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
         result = result.join(counts.hint("merge"), "rep", "left").join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
     else:
         result = result.withColumn("links", F.lit(0)).withColumn("root", F.lit(None).cast("long"))
-    return result.select(
+    result = result.select(
         "vec_id",
         F.when(F.col("rep").isNull(), F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("root", "rep", "vec_id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    )
+    return scratch.only(result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "classes")
