@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, spread_sample, text_chunks
+from .common import Words, grams, lean, spread_sample, text_chunks
 
 #: Labelled rows that the model is fitted to, at most about.
 SAMPLE = 12_000
@@ -201,7 +201,7 @@ def measured(docs: DataFrame, keep: tuple[str, ...], columns: str, finish) -> Da
                 yield pa.RecordBatch.from_arrays([*own, *made.values()], names=[*(f"_k{k}" for k in range(len(keep))), *made])
 
     kinds = ", ".join(f"_k{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    out = docs.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(keep)), F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, {columns}")
+    out = docs.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(keep)), F.col("text").alias("_text")).mapInArrow(lean(run), f"{kinds}, {columns}")
     return out.toDF(*keep, *out.columns[len(keep) :])
 
 
@@ -226,5 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int
 
 
 def score(docs: DataFrame, model: Additive, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    if "score" in keep:
+        raise ValueError("columns of the result: ['score']")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return measured(docs, keep, "score double", lambda data, offsets: {"score": pa.array(shared.value.score(features(data, offsets)))})
