@@ -145,12 +145,14 @@ def test_ngram_join_group_of_near_copies(spark):
     assert {i: got[i] for i in sets} == want and all(got[500 + i] == want[7] for i in range(50))
 
 
-@pytest.mark.parametrize(("crowd", "tile", "rounds"), [(2, 3, 0), (2, 1024, 1), (5, 7, 0)])
-def test_ngram_join_tiles(spark, monkeypatch, crowd, tile, rounds):
-    """Texts round one common passage: all signatures crowded, tiles cut small, few or no rounds before."""
+@pytest.mark.parametrize(("crowd", "tile", "leading", "held", "part"), [(2, 3, 10**6, 1, 1), (2, 1024, 1, 1 << 16, 1 << 13), (5, 7, 4, 3, 2), (32, 1024, 10**6, 1 << 16, 1 << 13)])
+def test_ngram_join_tiles(spark, monkeypatch, crowd, tile, leading, held, part):
+    """Texts round one common passage: signatures crowded or not, tiles and held runs cut small, few or no leaders before."""
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
     monkeypatch.setattr(ngram_join, "TILE", tile)
-    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "LEADING", leading)
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    monkeypatch.setattr(ngram_join, "PART", part)
     rng = random.Random(crowd + tile)
     passage = [f"p{i}" for i in range(60)]
     rows = []
@@ -165,6 +167,18 @@ def test_ngram_join_tiles(spark, monkeypatch, crowd, tile, rounds):
     assert len(set(want.values())) > 3
 
 
+def test_ngram_join_hash_collisions(spark, monkeypatch):
+    """Different sets with one first hash are told apart by the second."""
+    real = ngram_join.node_keys
+    monkeypatch.setattr(ngram_join, "node_keys", lambda keys, first: (real(keys, first)[0] % 5, real(keys, first)[1]))
+    rows = [(i, t) for i, t in corpus(4, 60) if i is not None]
+    sets = {i: shingles(t) for i, t in rows}
+    want = classes([(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    join = ngram_join.Join(table(spark, rows), 5, 80)
+    assert len(join.doubtful) > 1
+    assert {r.doc_id: r.component_id for r in join.run().collect()} == want
+
+
 def test_bitmap_bound():
     rng = np.random.default_rng(3)
     for _ in range(300):
@@ -180,6 +194,10 @@ def test_ngram_join_empty_and_filter(spark):
     got = ngram_join.keep_representatives(table(spark, rows))
     assert got.columns == table(spark, rows).columns
     assert sorted(r.doc_id for r in got.collect()) == [2, 3, 4, 9]
+    text = "a b c d e f g"
+    rows = [(1, text), (1, text), (2, text), (3, text), (7, "p q r s t u"), (7, "p q r s t u"), (7, "P q r s t u"), (7, "other words are here now ok"), (8, ""), (8, ""), (None, text)]
+    got = sorted(((r.doc_id or 0, r.text) for r in ngram_join.keep_representatives(table(spark, rows)).collect()), key=str)
+    assert [i for i, _ in got] == [0, 1, 7, 7, 8, 8] and {t.lower() for i, t in got if i == 7} == {"p q r s t u", "other words are here now ok"}
 
 
 # ---- 2 -----------------------------------------------------------------------------------
@@ -203,6 +221,56 @@ def test_language_id(spark):
     assert not ids & {900, 901, 902} and len(ids) > 0.98 * len(rows)
 
 
+def test_language_id_by_hand(spark):
+    """The query's predictions against subwords counted one by one in Python."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, lang, rng.choice([1, 3, 40])), lang, "s") for i, lang in enumerate(rng.choices(list(LANG), k=200))]
+    model = language_id.fit(table(spark, rows))
+    rows += [(300, "ÀÉ x9y--zß 漢字", None, None), (301, "a", None, None)]
+    mask, known = (1 << 64) - 1, len(model.languages)
+
+    def by_hand(text):
+        raw = [0x20 if not (b >= 128 or chr(b).isalpha() or b == 39) else b for b in bytes(language_id.fold_case(np.frombuffer(text.encode(), np.uint8)))]
+        total, n = np.zeros(2 * known), 0
+        for i in range(len(raw)):
+            key = 0
+            for size in range(1, 5):
+                if i + size > len(raw):
+                    break
+                key = (key * 257 + raw[i + size - 1] + 1) & mask
+                if size > 1 and (raw[i] != 32 or raw[i + 1] != 32):
+                    bucket = ((key + (size << 40)) * 0x9E3779B97F4A7C15 & mask) >> (64 - language_id.BUCKET_BITS)
+                    total, n = total + model.table[bucket], n + 1
+        mean = total / max(n, 1)
+        e = np.exp(mean[:known] + model.bias)
+        best = int(e.argmax())
+        like = (mean[known + best] - model.mean[best]) / math.sqrt(model.spread[best, 0] + model.spread[best, 1] / max(n, 1))
+        return model.languages[best], round(float(e[best] / e.sum()), 6), bool(e[best] / e.sum() < model.least_score or like < model.least_likeness)
+
+    got = {r.doc_id: (r.lang_pred, round(r.lang_score, 6), r.rejected) for r in language_id.predict(table(spark, rows), model).collect()}
+    assert got == {r[0]: by_hand(r[1]) for r in rows}
+
+
+def test_language_left_out(spark):
+    """Texts of a language that training has not seen are rejected; those of the languages it has seen stay."""
+    rng = random.Random(4)
+    syllables = {"aa": "ka to mi ru se no ha".split(), "bb": "lich heit der ung sch ein auf".split(), "cc": "eau tion que les mont oir ai".split(), "new": "przy szcz owa ński dzi wy łem".split()}
+    word = lambda lang: "".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3)))
+    text = lambda lang: " ".join(word(lang) for _ in range(rng.choice([12, 40, 150])))
+    known = [(i, text(lang), lang, "s") for i, lang in enumerate(rng.choices(["aa", "bb", "cc"], k=600))]
+    model = language_id.fit(table(spark, known))
+    more = [(1000 + i, text(lang), lang, "s") for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    kept = {r.doc_id for r in language_id.language_filter(table(spark, more + [(2000 + i, text("new"), "new", "s") for i in range(100)]), model).collect()}
+    assert kept == {r[0] for r in more}
+
+
+def test_clashing_names(spark):
+    docs = table(spark, [(1, "the of")])
+    for run in (lambda: bpe.encode_documents(docs.withColumn("ids", F.lit(1)), PATH, ("doc_id", "ids")), lambda: language_id.predict(docs, language_id.fit(docs), ("doc_id", "rejected")), lambda: quality.score(docs, None, ("score",)), lambda: toxicity.score(docs, None, ("score",))):
+        with pytest.raises(ValueError, match="columns of the result"):
+            run()
+
+
 def test_language_id_without_rows(spark):
     model = language_id.fit(empty(spark))
     assert [r.lang_pred for r in language_id.predict(table(spark, [(1, "the")]), model).collect()] == ["und"]
@@ -267,6 +335,19 @@ def test_substring_dedup(spark, seed):
     assert sum(k[2] for k in want) > 1000
 
 
+def test_substring_dedup_takes_places_from_automata(spark, monkeypatch):
+    """Without the phrases in the automata nothing is found but whole copies; small shards change nothing."""
+    rows = corpus(5, 60)
+    monkeypatch.setattr(substring_dedup, "SHARD", 7)
+    assert Counter(tuple(r) for r in substring_dedup.digests(table(spark, rows)).collect()) == removed(rows, 50)
+    monkeypatch.setattr(substring_dedup, "automaton", lambda phrases: substring_dedup.ahocorasick.Automaton(substring_dedup.ahocorasick.STORE_LENGTH, substring_dedup.ahocorasick.KEY_SEQUENCE))
+    monkeypatch.setattr(substring_dedup, "locate", lambda words, machine, gram: np.zeros(len(words.hashes), bool) if not len(machine) else None)
+    found = {r.doc_id: r for r in substring_dedup.digests(table(spark, rows)).collect()}
+    want = {k[0]: k for k in removed(rows, 50)}
+    assert sum(r.n_removed for r in found.values()) < sum(k[2] for k in want.values())
+    assert all(r.n_removed in (0, r.n_words) for r in found.values())
+
+
 def test_substring_dedup_edges(spark):
     """Runs that repeat in themselves, passages of just 50 and 49 words, overlaps of two owners."""
     w = [f"a{i}" for i in range(200)]
@@ -295,6 +376,34 @@ def test_language_model(spark):
     assert all(r.score < 0 for r in out)
 
 
+def test_language_model_by_hand(spark, monkeypatch):
+    """The query's scores against the network stepped token by token, with another word's share by its exact count."""
+    made = []
+    real = language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda *a: made.append((real(*a), a[1])) or made[0][0])
+    monkeypatch.setattr(language_model, "CLASSES", 4)
+    monkeypatch.setattr(language_model, "MEMBERS", 4)
+    monkeypatch.setattr(language_model, "UNKNOWN", 16)
+    monkeypatch.setattr(language_model, "FREQUENT", 40)
+    rows = [(i, " ".join(random.Random(i).choice("a b c d e f g h".split() + [f"w{k}" for k in range(200)]) for _ in range(random.Random(-i).randint(0, 60)))) for i in range(60)]
+    rows += [(100, None), (101, "never Seen a B")]
+    out = {r.doc_id: r.score for r in language_model.score_documents(table(spark, rows), F.col("doc_id") % 7 == 2).collect()}
+    (net, vocab), = made
+    c = Counter(w for i, t in rows if i % 7 != 2 for w in [*(t or "").lower().split(), None])
+    top = dict(zip(vocab.hashes.tolist(), vocab.ids.tolist(), strict=True))
+    drive = net.p["embed"] @ net.p["inward"] + net.p["bias"]
+    assert vocab.unknown == 16 and len(vocab.hashes) == 40
+    for i, t in rows:
+        words = [*(t or "").lower().split(), None]
+        ids = [top.get(word_hash(w) if w is not None else int(language_model.END), 16) for w in words]
+        h, total = np.zeros((1, language_model.HIDDEN)), 0.0
+        for before, now, w in zip([net.end_id, *ids], ids, words, strict=False):
+            h = net.step(drive[[before]], h)[-1]
+            total += net.log_probability(h, np.array([now]))[0] / math.log(10)
+            total += math.log10((c[w] + 1) / vocab.outside) if now == 16 else 0.0
+        assert out[i] == pytest.approx(total, rel=1e-4), i
+
+
 def test_language_model_gradients():
     """Backpropagation against finite differences; scoring in windows against one pass; probabilities sum to one."""
     rng = np.random.default_rng(2)
@@ -348,7 +457,8 @@ def test_language_model_trains_on_all(spark):
     assert score(ids[:4]) > score([ids[0], ids[5], ids[2], ids[7]]) + 1
 
 
-def test_language_model_output_grows(spark):
+def test_language_model_output_grows(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "EACH", 256)
     small, large = (language_model.vocabulary(spark.range(n).select(F.col("id").alias("word"), F.lit(2).alias("c"))) for n in (5_000, 600_000))
     assert small.unknown == language_model.UNKNOWN < large.unknown == 49**2
     net = language_model.Network.new(np.ones(large.unknown), 5.0)
@@ -377,6 +487,19 @@ def test_bpe_text(library, text):
     assert model.decode(model.encode(text)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_refuses_other_files():
+    import copy
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    bpe.require(spec)
+    for change in (lambda d: d["pre_tokenizer"].update(add_prefix_space=True), lambda d: d.update(normalizer={"type": "NFC"}), lambda d: d["model"].update(byte_fallback=True), lambda d: d["added_tokens"][0].update(lstrip=True)):
+        other = copy.deepcopy({**spec, "model": {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}})
+        change(other)
+        with pytest.raises(ValueError, match="not implemented"):
+            bpe.require(other)
+
+
 def test_bpe_table(spark, library):
     rows = [*corpus(3, 30), (1, "<|endoftext|> it's  <|endoftext|>"), (2, "x" * 50_000)]
     got = Counter(tuple(r) for r in bpe.encode_digests(table(spark, rows), PATH).collect())
@@ -429,28 +552,105 @@ def test_classifiers(spark, target, column, fit, score):
     assert score(empty(spark), model).collect() == []
 
 
+def by_rules(terms):
+    """What the grammar says of each hit of a clause, rule by rule: reported, else negated, else aimed at somebody."""
+    out, near = [], toxicity.REACH
+    for i, t in enumerate(terms):
+        if t in toxicity.HITS:
+            if "says" in terms[:i]:
+                out.append(f"{t} quoted")
+            elif "not" in terms[max(0, i - near) : i]:
+                out.append(f"{t} negated")
+            elif "aim" in terms[max(0, i - near) : i] or "aim" in terms[i + 1 : i + 1 + near]:
+                out.append(f"{t} aimed")
+            else:
+                out.append(t)
+    return out
+
+
+@given(st.lists(st.sampled_from([*toxicity.CLASSES[:-1], "other", "other", "insult", "aim"]), max_size=14))
+@settings(max_examples=600, deadline=None)
+def test_composed_grammar(terms):
+    """The composed machine against the rules, and its path's weight against the outcomes' weights."""
+    weights = {o: 2.0**k for k, o in enumerate(toxicity.OUTCOMES)}
+    found, weight = toxicity.read_clause(toxicity.cascade(weights), terms)
+    assert found == by_rules(terms) and weight == sum(weights[o] for o in found)
+
+
+def test_composition():
+    """A composed transducer does as the two do one after the other, and so does every part of the cascade."""
+    rng = random.Random(2)
+    parts = [toxicity.negating(), toxicity.within_reach("aim", "aimed"), toxicity.overruling("says", "quoted")]
+    one = toxicity.compose(toxicity.compose(*parts[:2], toxicity.READ), parts[2], toxicity.READ)
+    for _ in range(300):
+        terms = rng.choices(toxicity.READ, k=rng.randint(0, 12))
+        want = terms
+        for part in parts:
+            want = part.run(want)[0]
+        assert one.run(terms)[0] == want
+
+
 def test_grammar():
-    g = toxicity.grammar(["dolt"], [b"snarf"], np.ones(toxicity.OUTCOMES), -1.0)
+    g = toxicity.grammar(["dolt"], [b"snarf"], dict.fromkeys(toxicity.OUTCOMES, 1.0), -1.0, (b"blurg",), ("blurgish",))
 
     def read(text):
         data = np.frombuffer(text.encode(), np.uint8)
-        return g.outcomes(data, np.array([0, len(data)]))[0].astype(int).tolist()
-
-    assert read("a Dolt, here") == [1, 0, 0, 0, 0]
-    assert read("you are a dolt") == [0, 1, 0, 0, 0]
-    assert read("dolt you are") == [0, 1, 0, 0, 0]
-    assert read("he is not a dolt") == [0, 0, 1, 0, 0]
-    assert read("she said. dolt") == [1, 0, 0, 0, 0]
-    assert read("she said what a big fat dolt") == [0, 0, 0, 1, 0]
-    assert read("snarf snarfest kill you kill") == [1, 0, 0, 0, 1] or read("snarf snarfest kill you kill")[4] == 1
-    assert read("nothing at all") == [0, 0, 0, 0, 0]
+        return {o: int(n) for o, n in zip(toxicity.OUTCOMES, g.outcomes(data, np.array([0, len(data)]))[0], strict=True) if n}
+
+    assert read("a Dolt, here") == {"insult": 1}
+    assert read("you are a dolt") == read("dolt you are") == {"insult aimed": 1}
+    assert read("he is not a dolt") == {"insult negated": 1}
+    assert read("she said. dolt") == {"insult": 1}
+    assert read("she said what a big fat dolt") == {"insult quoted": 1}
+    assert read("snarf snarfest kill you kill") == {"insult aimed": 1, "menace aimed": 2}
+    assert read("kill the time") == {"menace": 1} and read("blurgs blurgish Blurgo") == {"kin": 2}
+    assert read("nothing at all") == {}
+    # an outcome counts MOST times in a text
+    few, many = (np.frombuffer(("dolt. " * n).encode(), np.uint8) for n in (toxicity.MOST, 50))
+    assert g.score(few, np.array([0, len(few)]))[0] == pytest.approx(g.score(many, np.array([0, len(many)]))[0])
+
+
+def plain_features(text):
+    """quality's features of one text, one after the other."""
+    raw = text.encode()
+    words = raw.split()
+    n, size = len(words), max(len(raw), 1)
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    upper, lower = share(range(65, 91)), share(range(97, 123))
+    runs = Counter(words)
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+    symbols = b'"#$%&*+/<=>@[\\]^_`{|}~'
+    return [
+        math.log1p(n), sum(map(len, words)) / max(n, 1), upper / max(upper + lower, 1), share(symbols) / size, share(b"|") / size,
+        share(range(48, 58)) / size, share(b"!") / size, sum(x == y for x, y in zip(words, words[1:], strict=False)) / max(n - 1, 1), len(runs) / max(n, 1), max(runs.values(), default=0) / max(n, 1),
+        share(b".,;:?") / max(n, 1), share(b"\n") / max(n, 1), 1 - len(set(triples)) / len(triples) if triples else 0.0, sum(w[-1] in symbols for w in words) / max(n, 1),
+    ]
+
+
+def test_quality_by_hand(spark):
+    """The query's scores against sums of table entries, looked up feature by feature."""
+    rows, labels = labelled(6, 300)
+    rows += [(910, "a | b | c | 1 2 !!\n\n x", None, None), (911, "Ünï " * 40, None, None)]
+    model = quality.fit(table(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert model.pairs
+    want = []
+    for i, t, *_ in rows:
+        x = plain_features(t or "")
+        bins = [sum(e <= v for e in edges) for edges, v in zip(model.edges, x, strict=True)]
+        total = model.bias + sum(own[k] for own, k in zip(model.tables, bins, strict=True))
+        total += sum(own[model.coarse[p][bins[p]], model.coarse[q][bins[q]]] for p, q, own in model.pairs)
+        want.append((i, round(1 / (1 + math.exp(-total)), 9)))
+    got = [(r.doc_id, round(r.score, 9)) for r in quality.score(table(spark, rows), model).collect()]
+    assert Counter(got) == Counter(want)
 
 
 # ---- 8 -----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("n", "block"), [(400, 8192), (700, 64)])
-def test_embeddings(spark, n, block):
+#: With the tiles of summaries cut small as well.
+@pytest.mark.parametrize(("n", "block"), [(400, 8192), (700, 64), (700, 12)])
+def test_embeddings(spark, monkeypatch, n, block):
+    monkeypatch.setattr(embedding_dedup, "SUMMARIES", max(2, block // 8))
     rng = np.random.default_rng(n)
     base = rng.normal(0, 1, (40, 16))
     x = [(base[rng.integers(0, 40)] * rng.uniform(0.5, 3) + rng.normal(0, rng.choice([0, 0.1, 0.3, 0.5]), 16)).astype(np.float32) for _ in range(n)]
@@ -475,6 +675,24 @@ def test_embeddings(spark, n, block):
     assert embedding_dedup.near_duplicates(df.where("false")).collect() == []
 
 
+def test_tight_clusters():
+    """Two clusters far tighter than single precision can tell, astride the threshold: no pair is lost to a bound."""
+    lost = links = 0
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        a, b = np.linalg.qr(rng.normal(0, 1, (32, 2)))[0].T
+        centres = [a, 0.9 * a + math.sqrt(1 - 0.81) * b]
+        x = embedding_dedup.unit(np.concatenate([c + rng.normal(0, 10 ** rng.uniform(-6, -3.5), (41, 32)) for c in centres]))
+        tree = embedding_dedup.CoverTree(x)
+        near = tree.x @ tree.x.T >= 0.9
+        seen = np.zeros_like(near)
+        for i, j in embedding_dedup.dual(tree, tree, math.sqrt(0.2)):
+            seen[i, j] = True
+        lost += int((near & ~seen).sum())
+        links += int(near[tree.order < 41][:, tree.order >= 41].sum())
+    assert lost == 0 and links > 1000
+
+
 def test_cover_tree():
     rng = np.random.default_rng(1)
     x = embedding_dedup.unit(np.concatenate([rng.normal(0, 1, (300, 8)), np.repeat(rng.normal(0, 1, (5, 8)), 60, 0) + rng.normal(0, 0.05, (300, 8))]))
@@ -520,6 +738,45 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(table(spark, rows), bench.where("false")).collect() == []
 
 
+def test_decontamination_by_hand(spark):
+    """Whole and partial passages: every window of every text scored against every item, without an index."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(80)]
+    sentence = lambda low, high: " ".join(rng.choice(words) for _ in range(rng.randint(low, high))) + "."
+    items = [(k, f"{sentence(8, 25)} {sentence(2, 6)}") for k in range(25)]
+    rows = []
+    for i in range(120):
+        w = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        own = items[i % 25][1].split()
+        for at in rng.sample(range(len(own)), rng.randint(0, len(own) // 3)):
+            own[at] = rng.choice(words)
+        rows.append((i, " ".join([*w, *own[rng.choice([0, 0, 2, 6]) :], *rng.choices(words, k=rng.randint(0, 90))])))
+    docs = {k: t.split() for k, t in items}
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = Counter(w for d in docs.values() for w in set(d))
+    idf = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in df}
+    weight = {k: {w: idf[w] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(d) / mean)) for w, f in Counter(d).items()} for k, d in docs.items()}
+    step = max(map(len, docs.values()))
+    grams = lambda w, size: {tuple(w[j : j + size]) for j in range(len(w) - size + 1)}
+    want, sure, total = {}, set(), len(rows)
+    for i, t in rows:
+        w = t.split()
+        for at in range(0, len(w), step):
+            passage = w[at : at + 2 * step]
+            for k, d in docs.items():
+                score = sum(v for x, v in weight[k].items() if x in set(passage)) / sum(weight[k].values())
+                cut = max(j for j, x in enumerate(d[:-1]) if x.endswith(".")) + 1
+                shares = []
+                for part in (d[:cut], d[cut:]):
+                    size = min(3, len(part))
+                    shares.append(len(grams(part, size) & grams(passage, size)) / len(grams(part, size)))
+                if score >= 0.7 and min(shares) >= 0.6:
+                    want[i, k] = max(want.get((i, k), (0.0, 0.0, 0.0)), (score, *shares))
+    got = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in decontaminate.find_leaks(table(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert set(got) == set(want) and 30 < len(want) < total
+    assert all(got[p] == pytest.approx(want[p], abs=1e-6) for p in want)
+
+
 @given(st.integers(0, 10_000))
 @settings(max_examples=60, deadline=None)
 def test_wand_is_exhaustive(seed):
