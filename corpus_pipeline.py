@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
 Parquet and read again before the next. What goes and what stays:
 
 1. language_id: documents whose language the classifier rejects go.
-2. ngram_join: of each group of near copies the document with the smallest id stays.
+2. ngram_join: of each group of near copies the document with the smallest id stays; of equal rows one.
 3. substring_dedup: words of passages that start in a document with a smaller id go; documents that
    so lose all their words go.
 4. decontamination: documents that hold a benchmark item go.
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewright.llm import bpe, decontaminate, language_id, ngram_join, substring_dedup
 from framewright.llm.common import Scratch, fold, read
@@ -27,7 +28,7 @@ from framewright.llm.queries import tokenizer_path
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.language_filter(docs, language_id.fit(docs.where(fold("doc_id", 4) != 2)))
+    return language_id.language_filter(docs, language_id.fit(docs.where(F.coalesce(fold("doc_id", 4) != 2, F.lit(True)))))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
