@@ -60,11 +60,11 @@ def valid_media(media: DataFrame, raw: str = "probe", strict: bool = False) -> D
 
 def homogeneous(media: DataFrame) -> DataFrame:
     """One row: whether all inputs (file_pos, vcodec, acodec, scale) equal the first, and the first that differs and in what."""
-    first = media.agg(F.min_by(F.struct("vcodec", "acodec", "scale"), "file_pos").alias("first"), F.count("*").alias("n"))
+    first = media.agg(F.min_by(F.struct("vcodec", "acodec", "scale"), "file_pos").alias("first")).first()["first"]
     found = F.lit(None).cast("string")
     for name in ("scale", "acodec", "vcodec"):
-        found = F.when(~F.col(name).eqNullSafe(F.col(f"first.{name}")), F.lit(name)).otherwise(found)
-    compared = media.crossJoin(F.broadcast(first)).withColumn("differs", found)  # one row
+        found = F.when(~F.col(name).eqNullSafe(F.lit(first[name] if first else None)), F.lit(name)).otherwise(found)
+    compared = media.withColumn("differs", found)
     return compared.agg(
         (F.count("*") >= 2).alias("enough"),
         (F.count("differs") == 0).alias("homogeneous"),
