@@ -6,7 +6,8 @@ puts its two new neighbour pairs on the heap. A word of n bytes so costs O(n log
 Decoding concatenates the vocabulary strings of the ids.
 
 Vocabulary and merges are read from a public tokenizer's JSON file, whose path is a parameter; every
-worker reads it once. Words met before come from a cache of bounded size, which changes no result.
+worker reads it once. A file that asks for anything else than is built here is refused. Words met
+before come from a cache of bounded size, which changes no result and is emptied when a task ends.
 
 Defined results: a null text is encoded as the empty text (no ids, empty decoding); equal rows give
 equal results; an empty table gives an empty result; other columns are ignored.
@@ -25,12 +26,19 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import lean, modest
 
 #: The byte-level pre-tokenisation pattern, and Unicode's White_Space characters.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WHITE = "\t-\r \x85\xa0  -     　"
-#: Entries of a worker's cache; a full one is emptied.
-CACHE = 800_000
+#: Entries of each half of a worker's cache, of 64 letters at most: a full half takes the place of the older one.
+CACHE = 250_000
+#: What a file may say of its steps; other keys are free.
+PLAIN = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "decoder": {"type": "ByteLevel"}}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+PLAIN_ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,8 +48,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def require(spec: dict) -> None:
+    """Raise if the file asks for a step that is not built here."""
+
+    def agree(have: dict | None, want: dict, where: str) -> None:
+        for key, value in want.items():
+            own = (have or {}).get(key)
+            if isinstance(value, dict):
+                agree(own, value, key)
+            elif (own or None) != (value or None):
+                raise ValueError(f"{where}: {key} = {own!r} is not implemented")
+
+    agree(spec, PLAIN, "tokenizer")
+    agree(spec["model"], PLAIN_MODEL, "model")
+    for token in spec["added_tokens"]:
+        agree(token, PLAIN_ADDED, "added token")
+
+
 class ByteBPE:
     def __init__(self, spec: dict):
+        require(spec)
         letters = byte_letters()
         back = {c: b for b, c in letters.items()}
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -63,6 +89,7 @@ class ByteBPE:
         #: Coarser cuts at the same places: a run of non-space with the space before it, or white space.
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
         self._known: dict[str, tuple[str, int, bytes]] = {}
+        self._older: dict[str, tuple[str, int, bytes]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-tokenised piece. Heap entries are rank and position as one number."""
@@ -95,17 +122,19 @@ class ByteBPE:
         return [x for x in ids if x >= 0]
 
     def _encode_chunk(self, chunk: str) -> tuple[str, int, bytes]:
-        get = self._known.get
-        # letters alone are one piece
-        pieces = [chunk] if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha() else self.pieces(chunk)
-        if len(pieces) == 1:
-            ids = self.merge(chunk.encode())
-            known = (",".join([self.decimal[i] for i in ids]), len(ids), self.decode_bytes(ids))
-        else:
-            ids, n, raw = zip(*[get(p) or self._encode_chunk(p) for p in pieces], strict=True)
-            known = (",".join(ids), sum(n), b"".join(raw))
+        known = self._older.get(chunk)
+        if known is None:
+            # letters alone are one piece
+            pieces = [chunk] if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha() else self.pieces(chunk)
+            if len(pieces) == 1:
+                ids = self.merge(chunk.encode())
+                known = (",".join([self.decimal[i] for i in ids]), len(ids), self.decode_bytes(ids))
+            else:
+                ids, n, raw = zip(*[self._known.get(p) or self._encode_chunk(p) for p in pieces], strict=True)
+                known = (",".join(ids), sum(n), b"".join(raw))
         if len(chunk) <= 64:
             if len(self._known) >= CACHE:
+                self._older = dict(self._known)
                 self._known.clear()
             self._known[chunk] = known
         return known
@@ -121,6 +150,11 @@ class ByteBPE:
                 for chunk in self.chunks(part):
                     yield get(chunk) or slow(chunk)
 
+    def forget(self) -> None:
+        """Empty the cache."""
+        self._known.clear()
+        self._older = {}
+
     def encode(self, text: str) -> np.ndarray:
         decimal = ",".join([ids for ids, _, _ in self.encoded(text)])
         return np.fromstring(decimal, np.int32, sep=",") if decimal else np.zeros(0, np.int32)
@@ -144,6 +178,9 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 
 def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_tokens, ids, and round_trip (whether decoding gives the text back) of every text."""
+    modest(docs.sparkSession)
+    if clash := {*keep} & {"n_tokens", "ids", "round_trip"}:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -155,13 +192,15 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
                 same = [bpe.decode(i) == t for i, t in zip(ids, texts, strict=True)]
                 made = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *made], names=[*keep, "n_tokens", "ids", "round_trip"])
+        bpe.forget()
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}n_tokens long, ids array<int>, round_trip boolean")
+    return docs.select(*keep, "text").mapInArrow(lean(run), f"{kinds}n_tokens long, ids array<int>, round_trip boolean")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
+    modest(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -176,5 +215,6 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                     of_ids.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
                     of_text.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([keys.slice(at, 256), pa.array(count, pa.int64()), pa.array(of_ids), pa.array(of_text)], schema=DIGESTS)
+        bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,12 +17,24 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch that go to a Python worker and come back. Spark's own default is this times five.
+ARROW_ROWS = 2_000
+
+
+def modest(spark: SparkSession) -> None:
+    """Let texts travel in batches of ARROW_ROWS rows, unless the session has a limit of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shielded(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with neutral names for all columns but the needed ones, so that none can clash; and what gives the names back."""
+    modest(docs.sparkSession)
     inner = {c: c if c in needed else f"_col{k}" for k, c in enumerate(docs.columns)}
     return docs.toDF(*inner.values()), lambda df: df.select(*(F.col(i).alias(c) for c, i in inner.items()))
 
@@ -77,6 +89,7 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession):
+        modest(spark)
         self.spark, self.root = spark, f"{scratch_dir(spark)}/framewright-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:

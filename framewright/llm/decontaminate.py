@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grams, lean, shielded, without, word_chunks, word_hash
+from .common import Scratch, grams, lean, modest, shielded, without, word_chunks, word_hash
 
 THRESHOLD, OVERLAP = 0.7, 0.6
 K1, B = 1.2, 0.75
@@ -265,6 +265,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], S
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """One row per document and benchmark item that it holds."""
+    modest(docs.sparkSession)
     sc, found = docs.sparkSession.sparkContext, None
     for rows, whole in item_blocks(benchmark):
         shared = sc.broadcast(Index.build(rows, whole))

@@ -217,15 +217,26 @@ def size_bands(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100.0 / NEAR) + 1e-9).astype(np.int64)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches, so many that they have about that many rows."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch):
+            some.append(batch)
+        if sum(map(len, some)) >= rows:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[tuple[list[np.ndarray], bool]]:
     """The columns of sorted rows, cut between keys (the first columns): (columns, whether the first key goes on from the last
     piece). Only a key of more than `most` rows is cut inside."""
     held: list[np.ndarray] | None = None
     goes_on, last = False, None
-    for batch in batches:
-        now = [np.asarray(c) for c in batch.columns]
-        if not len(now[0]):
-            continue
+    for some in gathered(batches, min(most, 1 << 15)):
+        now = [np.concatenate(c) for c in zip(*([np.asarray(c) for c in batch.columns] for batch in some), strict=True)]
         held = now if held is None else [np.concatenate(p) for p in zip(held, now, strict=True)]
         other = np.zeros(len(held[0]), bool)
         for c in held[:keys]:

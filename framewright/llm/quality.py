@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, lean, spread_sample, text_chunks
+from .common import Words, grams, lean, modest, spread_sample, text_chunks
 
 #: Labelled rows that the model is fitted to, at most about.
 SAMPLE = 12_000
@@ -192,6 +192,7 @@ def fit_additive(x: np.ndarray, y: np.ndarray) -> Additive:
 
 def measured(docs: DataFrame, keep: tuple[str, ...], columns: str, finish) -> DataFrame:
     """The kept columns and what finish makes of each run of texts' (bytes, offsets)."""
+    modest(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -65,13 +65,14 @@ def winnow(hashes: np.ndarray, first: np.ndarray, gram: int, reach: int) -> tupl
 
 
 def emit_anchors(window: int, gram: int):
-    """(anchor, h, place) of every text; of equal texts in a batch, of one."""
+    """(anchor, h, place) of every text; of equal texts near one another, of one."""
     schema = pa.schema([("anchor", pa.int64()), ("h", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            _, once = np.unique(np.asarray(batch.column(0)), return_index=True)
-            batch = batch.take(pa.array(np.sort(once)))
+            seen = seen if len(seen) < 100_000 else set()
+            batch = batch.filter(pa.array([not (h in seen or seen.add(h)) for h in batch.column(0).to_pylist()], pa.bool_()))
             for i, _, words in word_chunks(batch.column(1), lower=False):
                 g, _, anchor = winnow(words.hashes, words.first, gram, window - gram + 1)
                 chosen = np.unique(anchor)
