@@ -9,8 +9,8 @@ put into buckets whose order is known, buckets are counted, and a row's rank is
 plus its rank inside the bucket. A source with a third of all rows is spread like any other.
 
 Defined results: a null text has size 16 and the checksum of no bytes (0); a null source is a
-source of its own; rows with equal ids are told apart by size and checksum, and wholly equal rows
-are interchangeable; an empty table gives an empty result; other columns are ignored.
+source of its own; rows with equal ids, or none, are told apart by size and checksum, and wholly equal
+rows are interchangeable (they share a bucket, and so a task); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _RANGE = float(1 << 60)
 
 
 def shuffle_hash(seed: int, key: Column) -> Column:
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 15)
     return F.conv(digits, 16, 10).cast("bigint")
 
 
@@ -40,8 +40,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFram
         "source",
         (F.octet_length(text) + 16).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        shuffle_hash(seed, F.col("doc_id")).alias("h"),
-    ).withColumn("bucket", F.floor(F.col("h") / F.lit(_RANGE) * buckets))
+    ).withColumn("h", shuffle_hash(seed, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32"))).withColumn("bucket", F.floor(F.col("h") / F.lit(_RANGE) * buckets))
     tie = ["doc_id", "size", "text_crc32"]
 
     # rank within the source: offset of the bucket among the source's buckets, plus the rank inside

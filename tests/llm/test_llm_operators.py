@@ -231,7 +231,7 @@ def test_language_id_by_hand(spark):
 
     def by_hand(text):
         raw = [0x20 if not (b >= 128 or chr(b).isalpha() or b == 39) else b for b in bytes(language_id.fold_case(np.frombuffer(text.encode(), np.uint8)))]
-        total, n = np.zeros(2 * known), 0
+        total, n = np.zeros(known + 1), 0
         for i in range(len(raw)):
             key = 0
             for size in range(1, 5):
@@ -244,7 +244,7 @@ def test_language_id_by_hand(spark):
         mean = total / max(n, 1)
         e = np.exp(mean[:known] + model.bias)
         best = int(e.argmax())
-        like = (mean[known + best] - model.mean[best]) / math.sqrt(model.spread[best, 0] + model.spread[best, 1] / max(n, 1))
+        like = (mean[known] - model.mean) / math.sqrt(model.spread[0] + model.spread[1] / max(n, 1))
         return model.languages[best], round(float(e[best] / e.sum()), 6), bool(e[best] / e.sum() < model.least_score or like < model.least_likeness)
 
     got = {r.doc_id: (r.lang_pred, round(r.lang_score, 6), r.rejected) for r in language_id.predict(table(spark, rows), model).collect()}
@@ -260,6 +260,7 @@ def test_language_left_out(spark):
     known = [(i, text(lang), lang, "s") for i, lang in enumerate(rng.choices(["aa", "bb", "cc"], k=600))]
     model = language_id.fit(table(spark, known))
     more = [(1000 + i, text(lang), lang, "s") for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    more += [(1500 + i, f"{text('aa')} {text('bb')}", "aa", "s") for i in range(40)]
     kept = {r.doc_id for r in language_id.language_filter(table(spark, more + [(2000 + i, text("new"), "new", "s") for i in range(100)]), model).collect()}
     assert kept == {r[0] for r in more}
 
@@ -295,7 +296,8 @@ def test_sharding(spark):
     want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
     # the same order, ranked in one piece
-    key = lambda r: hashlib.md5(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:15]
+    size = lambda r: len((r[1] or "").encode()) + 16
+    key = lambda r: hashlib.md5(f"3:{'' if r[0] is None else r[0]}:{size(r)}:{zlib.crc32((r[1] or '').encode())}".encode()).hexdigest()[:15]
     by = defaultdict(list)
     for r in rows:
         by[r[3]].append((key(r), r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())))
