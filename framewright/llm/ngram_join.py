@@ -574,7 +574,7 @@ def keep_representatives(docs: DataFrame, size: int = SHINGLE, near: int = NEAR)
     scratch = Scratch(docs.sparkSession)
     inner, restored = shielded(docs)
     found = Join(docs, size, near).run().where("n > 0 and doc_id is not null")
-    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("best"))
+    best = scratch.put(found.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("best")), "best")
     marked = found.join(best.hint("merge"), "root").select("doc_id", "h", (F.struct("doc_id", "h") == F.col("best")).alias("stays"))
     # of each (id, text): whether it stays, and whether several rows are alike
     verdict = marked.groupBy("doc_id", "h").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1")

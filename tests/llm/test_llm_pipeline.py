@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
+import pytest
+from tests.conftest import data_dir
 from tests.llm.test_llm_operators import LANG, classes, prose, removed, shingles
 
 import corpus_pipeline
-from framewright.llm.queries import queries, tokenizer_path
+from framewright.llm.queries import oracle_sql, queries, tokenizer_path
 
 
 def test_stages(spark, tmp_path):
@@ -45,5 +48,19 @@ def test_stages(spark, tmp_path):
     assert {(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {(r.doc_id, tuple(r.ids)) for r in after["bpe"]}
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_oracle(spark, name):
+    """The queries that SQL can express against DuckDB, on the smallest tables."""
+    con, at = duckdb.connect(), data_dir("sf0.001")
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet')")
+    found = queries()[name](spark, at)
+    columns = sorted(found.columns)
+    want = con.sql(oracle_sql()[name])
+    places = [want.columns.index(c) for c in columns]
+    got = sorted(map(repr, (tuple(r[c] for c in columns) for r in found.collect())))
+    assert got and got == sorted(map(repr, (tuple(r[i] for i in places) for r in want.fetchall())))
+
+
 def test_ten_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 11))
