@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..errors import BinaryCallFailed, BinaryNotFound, StreamEntryNotFound, StreamIndexOutOfBound
+from ..errors import BinaryCallFailed, BinaryNotFound, StreamEntryNotFound, StreamIndexOutOfBound, StreamLoadError
 from ..plans.commands import FilterSpec, MediaCommand, frame_rate
 from ..functions.timeline import BEGIN, END, select_expression
 from ..schema import PROBE
@@ -85,7 +85,10 @@ def probe(path: str, options: list[str] | None = None) -> dict:
     done = subprocess.run([find_binary("ffprobe"), "-v", "error", "-of", "json", *(options or ["-show_streams"]), path], capture_output=True, check=False)
     if done.returncode:
         raise BinaryCallFailed(done.stderr.decode("utf-8", "replace"))
-    return json.loads(done.stdout)
+    try:
+        return json.loads(done.stdout)
+    except json.JSONDecodeError as e:
+        raise StreamLoadError(path) from e
 
 
 class _Range(InputPartition):

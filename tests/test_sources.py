@@ -7,6 +7,7 @@ import pytest
 from tests.conftest import data_dir
 from pyspark.sql import functions as F
 
+from framewright.errors import BinaryCallFailed, BinaryNotFound, StreamLoadError
 from framewright.operators import fingerprints, keyframes
 from framewright.sources import fingerprints as store
 from framewright.sources import media
@@ -70,6 +71,22 @@ def test_search(spark, tmp_path):
     assert hits.count() == 2 and [r.value for r in media.downloads(hits, files).collect()] == ["one"]
 
 
+def test_probe_tool(tmp_path, monkeypatch):
+    """The probe tool, a script here: what it says, that it fails, that it says no JSON, that there is none."""
+    tool = tmp_path / "ffprobe"
+    tool.write_text("#!/bin/sh\nfor x; do :; done\ncase $x in good) echo '{\"streams\":[{\"width\":4}]}';; bad) echo broken >&2; exit 1;; *) echo words;; esac\n")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    assert media.probe("good") == {"streams": [{"width": 4}]}
+    with pytest.raises(BinaryCallFailed, match="broken"):
+        media.probe("bad")
+    with pytest.raises(StreamLoadError):
+        media.probe("odd")
+    monkeypatch.setenv("PATH", "/nowhere")
+    with pytest.raises(BinaryNotFound):
+        media.probe("good")
+
+
 def test_frame_source(spark, tmp_path, monkeypatch):
     """Ranges of frames through a decoder that is a script here: it prints as many frames as the select filter asks for."""
     tool = tmp_path / "ffmpeg"
