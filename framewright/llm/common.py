@@ -85,6 +85,19 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return with_end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches, so many that they have about that many rows."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch):
+            some.append(batch)
+        if sum(map(len, some)) >= rows:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 

@@ -11,11 +11,11 @@ class first, then the word within the class, so a token costs twice the root of
 all words outside, so the model gives every word a probability, seen or not, that sum to one.
 
 It is trained in numpy by truncated backpropagation through windows of WINDOW tokens, with Adam and
-the state carried from window to window, on every training text: a hash deals the texts to shards
+the state carried from window to window, once on every training text: a hash deals the texts to shards
 of about SHARD tokens (PER_WORD for each word of the output, if that is more), each shard is a pass
-of its own from the same weights, and the weights are merged, a shard counting by its tokens. There
-are PASSES such rounds; the shards grow in number with the corpus, and the weights are merged by the
-executors in parts of PART numbers. Biases start from the corpus counts. Scoring too goes by windows and carries the state across, from a
+of its own from the same weights, in as many parallel streams (STREAMS at most) as leave it STEPS steps,
+and the weights are merged, a shard counting by its tokens. The shards grow in number with the corpus,
+and the weights are merged by the executors in parts of PART numbers. Biases start from the corpus counts. Scoring too goes by windows and carries the state across, from a
 text's first token to its end: texts of one batch are sorted by length and advance together, and
 each is scored whole.
 
@@ -33,28 +33,35 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_chunks, word_hash
+from .common import Scratch, gathered, lean, trim, word_chunks, word_hash
 
 #: Classes and words of each, at least; counted words to one word of the output.
 CLASSES, MEMBERS = 32, 32
-EACH = 256
+EACH = 4_096
 #: Tokens of a shard: so many, or so many for each word of the output. Weights merged by one task.
-SHARD, PER_WORD, PART = 1 << 20, 512, 1 << 16
-EMBED, HIDDEN, WINDOW, STREAMS, RATE, PASSES = 16, 24, 16, 96, 4e-3, 2
+SHARD, PER_WORD, PART = 1 << 22, 512, 1 << 16
+EMBED, HIDDEN, WINDOW, STREAMS, STEPS, RATE = 16, 24, 16, 512, 256, 4e-3
 FREQUENT = 150_000
-TOGETHER = 1_024
+#: Tokens that are counted together.
+COUNTED = 1 << 21
+#: Texts that advance together; texts that are sorted by length for it.
+TOGETHER, SORTED = 2_048, 8_192
 END = np.uint64(word_hash("\x00 end of text"))
 UNKNOWN = CLASSES * MEMBERS
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def output_size(words: int) -> int:
@@ -67,6 +74,14 @@ def log_total(x: np.ndarray) -> np.ndarray:
     return np.log(np.exp(x - top).sum(1)) + top[:, 0]
 
 
+def probabilities(x: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
@@ -126,51 +141,52 @@ class Network:
             trace.append((z, r, n, a, h))
             states[t] = h = new
         flat, goal = states.reshape(-1, HIDDEN), target.ravel()
+        rows = np.arange(len(goal))
         g = {k: np.zeros_like(v) for k, v in p.items()}
         group = np.minimum(goal // members, classes)
-        out = flat @ p["classes"] + p["class_bias"]
-        lse = log_total(out)
-        loss = -(out[np.arange(len(goal)), group] - lse).sum()
-        d = np.exp(out - lse[:, None])
-        d[np.arange(len(goal)), group] -= 1
+        d = probabilities(flat @ p["classes"] + p["class_bias"])
+        loss = -np.log(d[rows, group]).sum()
+        d[rows, group] -= 1
         d /= len(goal)
         g["classes"], g["class_bias"] = flat.T @ d, d.sum(0)
         back = d @ p["classes"].T
         order = np.argsort(group, kind="stable")
         cut = np.searchsorted(group[order], np.arange(classes + 1))
+        member = goal % members
         for k in np.flatnonzero(np.diff(cut)):
             own = order[cut[k] : cut[k + 1]]
-            inner = flat[own] @ p["words"][k] + p["word_bias"][k]
-            lse = log_total(inner)
-            loss -= (inner[np.arange(len(own)), goal[own] % members] - lse).sum()
-            d = np.exp(inner - lse[:, None])
-            d[np.arange(len(own)), goal[own] % members] -= 1
+            state = flat[own]
+            d = probabilities(state @ p["words"][k] + p["word_bias"][k])
+            at = rows[: len(own)], member[own]
+            loss -= np.log(d[at]).sum()
+            d[at] -= 1
             d /= len(goal)
-            g["words"][k], g["word_bias"][k] = flat[own].T @ d, d.sum(0)
+            g["words"][k], g["word_bias"][k] = state.T @ d, d.sum(0)
             back[own] += d @ p["words"][k].T
         back = back.reshape(steps, streams, HIDDEN)
         dh = np.zeros_like(start)
         d_drive = np.empty((steps, streams, 3 * HIDDEN), h.dtype)
+        d_around = np.empty((streams, 3 * HIDDEN), h.dtype)
         for t in range(steps - 1, -1, -1):
             z, r, n, a, before = trace[t]
             dh = dh + back[t]
             dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            d_drive[t] = np.concatenate([dz, dr, dn], 1)
-            d_around = np.concatenate([dz, dr, dn * r], 1)
+            own = d_drive[t]
+            own[:, :HIDDEN] = dh * (before - n) * z * (1 - z)
+            own[:, HIDDEN : 2 * HIDDEN] = dn * a * r * (1 - r)
+            own[:, 2 * HIDDEN :] = dn
+            d_around[:, : 2 * HIDDEN] = own[:, : 2 * HIDDEN]
+            d_around[:, 2 * HIDDEN :] = dn * r
             g["around"] += before.T @ d_around
             dh = dh * z + d_around @ p["around"].T
-        d_drive = d_drive.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(x.ravel(), kind="stable")
-        seen, begin = np.unique(x.ravel()[order], return_index=True)
-        by_word = np.add.reduceat(d_drive[order], begin)
-        g["bias"] = d_drive.sum(0)
-        g["inward"] = p["embed"][seen].T @ by_word
-        g["embed"][seen] = by_word @ p["inward"].T
+        d_drive, words = d_drive.reshape(-1, 3 * HIDDEN), x.ravel()
+        g["bias"], g["inward"] = d_drive.sum(0), p["embed"][words].T @ d_drive
+        order = np.argsort(words, kind="stable")
+        seen, begin = np.unique(words[order], return_index=True)
+        g["embed"][seen] = np.add.reduceat((d_drive @ p["inward"].T)[order], begin)
         return g, h, float(loss / len(goal))
 
-    def train(self, texts: list[np.ndarray], passes: int = PASSES, seed: int = 7) -> list[float]:
+    def train(self, texts: list[np.ndarray], passes: int = 1, seed: int = 7) -> list[float]:
         """Truncated backpropagation over the texts, laid end to end in parallel streams; the losses."""
         if not texts:
             return []
@@ -181,16 +197,14 @@ class Network:
         for _ in range(passes):
             order = rng.permutation(len(texts))
             line = np.concatenate([texts[i] for i in order])
-            streams = max(1, min(STREAMS, len(line) // (2 * WINDOW)))
+            streams = max(1, min(STREAMS, len(line) // (STEPS * WINDOW)))
             length = (len(line) - 1) // streams
-            windows = length // WINDOW
-            if not windows:
-                break
+            windows = -(-length // WINDOW)
             x = line[: streams * length].reshape(streams, length).T
             y = line[1 : streams * length + 1].reshape(streams, length).T
             h = np.zeros((streams, HIDDEN), np.float32)
             for w in range(windows):
-                at = slice(w * WINDOW, (w + 1) * WINDOW)
+                at = slice(w * WINDOW, min((w + 1) * WINDOW, length))
                 g, h, loss = self.gradients(x[at], y[at], h)
                 losses.append(loss)
                 step += 1
@@ -265,16 +279,20 @@ def tokens(words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        held = [tokens(words)[0] for _, _, words in word_chunks(batch.column(0), lower=True)]
-        if held:
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held += [tokens(words)[0] for _, _, words in word_chunks(batch.column(0), lower=True)]
+            size = sum(map(len, held))
+        if held and (batch is None or size >= COUNTED):
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "c"])
+            held = []
 
 
 def count_words(training: DataFrame) -> DataFrame:
     """(word, c) of all training texts."""
-    return training.select("text").mapInArrow(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(lean(_count), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -306,7 +324,7 @@ def sharded(training: DataFrame, vocab: Vocabulary, tokens_each: int, seed: int
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", h), F.lit(max(1, -(-vocab.total // tokens_each))))
     rows = training.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"), "text")
-    return rows.mapInArrow(run, "shard long, doc_id long, h long, ids array<int>")
+    return rows.mapInArrow(lean(run), "shard long, doc_id long, h long, ids array<int>")
 
 
 def merged(shards: DataFrame, network: Network, seed: int) -> Network:
@@ -315,11 +333,13 @@ def merged(shards: DataFrame, network: Network, seed: int) -> Network:
 
     def learn(key: tuple, rows: pa.Table) -> pa.Table:
         own = Network({k: v.copy() for k, v in shared.value.p.items()})
-        texts = [np.asarray(x.values).astype(np.int64) for x in rows.sort_by([("doc_id", "ascending"), ("h", "ascending")])["ids"]]
-        own.train(texts, passes=1, seed=seed)
+        texts = [np.asarray(x.values) for x in rows.sort_by([("doc_id", "ascending"), ("h", "ascending")])["ids"]]
+        own.train(texts, seed=seed)
         flat = np.concatenate([v.ravel() for v in own.p.values()])
         parts = [flat[at : at + PART] for at in range(0, len(flat), PART)]
         size = sum(map(len, texts))
+        del own, texts
+        trim()
         return pa.table({"part": pa.array(range(len(parts)), pa.int32()), "shard": pa.array([key[0].as_py()] * len(parts), pa.int64()), "tokens": pa.array([size] * len(parts), pa.int64()), "x": pa.array(parts, pa.list_(pa.float32()))})
 
     def mean(key: tuple, rows: pa.Table) -> pa.Table:
@@ -346,8 +366,7 @@ def fit(training: DataFrame, vocab: Vocabulary, scratch: Scratch, tokens_each: i
     in_order[vocab.ids[inside]] = vocab.counts[inside]
     network = Network.new(in_order, vocab.total - in_order.sum())
     shards = scratch.put(sharded(training, vocab, tokens_each or max(SHARD, PER_WORD * vocab.unknown)), "shards")
-    for k in range(PASSES):
-        network = merged(shards, network, 7 + k)
+    network = merged(shards, network, 7)
     scratch.drop("shards")
     network.p["end"] = np.array([vocab.end])
     return network
@@ -360,10 +379,10 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, vocab = shared.value
         floor = np.log10(vocab.total + vocab.distinct + 1)
-        for batch in batches:
+        for some in gathered(batches, SORTED):
             held, sizes = [], [np.zeros(1, np.int64)]
             known, base, inner = [], [], []
-            for _, _, words in word_chunks(batch.column(3), lower=True):
+            for words in (words for batch in some for _, _, words in word_chunks(batch.column(3), lower=True)):
                 hashes, first = tokens(words)
                 c, ids = vocab.find(hashes)
                 owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -373,12 +392,12 @@ def _score(shared):
                 inner.append(np.bincount(owner, np.where(ids == vocab.unknown, seen - np.log10(vocab.outside), 0.0), len(first) - 1))
                 held.append(ids.astype(np.int32))
                 sizes.append(np.diff(first))
-            if not held:
-                continue
             size = np.concatenate(sizes)
             flat, first = np.concatenate(held), np.cumsum(size)
             scores = network.score(flat, first) / np.log(10) + np.concatenate(inner)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size[1:]), pa.array(np.concatenate(known)), pa.array(np.concatenate(base) - size[1:] * floor), pa.array(scores)], schema=_SCORED)
+            own = pa.Table.from_batches(some).select([0, 1, 2])
+            made = [size[1:], np.concatenate(known), np.concatenate(base) - size[1:] * floor, scores]
+            yield from pa.table([*own.columns, *map(pa.array, made)], schema=_SCORED).combine_chunks().to_batches()
 
     return run
 
@@ -410,14 +429,14 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     counts = scratch.put(count_words(training), "counts")
     vocab = vocabulary(counts)
     shared = docs.sparkSession.sparkContext.broadcast((fit(training, vocab, scratch), vocab))
-    rare = rows.select("h", "text").mapInArrow(_rare(shared), "word long, h long, times int")
+    rare = rows.select("h", "text").mapInArrow(lean(_rare(shared)), "word long, h long, times int")
     # equal texts have equal rows here; one of each counts, and no shuffle parts it from the join
     met = rare.join(counts, "word", "left").groupBy("word", "h").agg(F.max("times").alias("times"), F.max("c").alias("c"))
     sums = met.groupBy("h").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare_log"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
     )
-    scored = rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, h long, n_tokens long, known long, base double, model double")
+    scored = rows.mapInArrow(lean(_score(shared)), "doc_id long, held_out boolean, h long, n_tokens long, known long, base double, model double")
     extra, none = F.coalesce("rare_log", F.lit(0.0)), F.lit(0)
     return scored.join(sums, "h", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", none)).cast("long").alias("n_known"),

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, among, bucket, grams, lean, mix, shielded, word_chunks
+from .common import Scratch, Words, among, gathered, grams, lean, mix, shielded, word_chunks
 from .components import components
 
 SHINGLE, NEAR = 5, 80
@@ -217,19 +217,6 @@ def size_bands(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100.0 / NEAR) + 1e-9).astype(np.int64)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
-    """Batches, so many that they have about that many rows."""
-    some: list[pa.RecordBatch] = []
-    for batch in batches:
-        if len(batch):
-            some.append(batch)
-        if sum(map(len, some)) >= rows:
-            yield some
-            some = []
-    if some:
-        yield some
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[tuple[list[np.ndarray], bool]]:
     """The columns of sorted rows, cut between keys (the first columns): (columns, whether the first key goes on from the last
     piece). Only a key of more than `most` rows is cut inside."""
