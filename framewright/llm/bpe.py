@@ -73,12 +73,15 @@ class ByteBPE:
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.raw: dict[int, bytes] = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
         self.byte_id = [vocab[letters[b]] for b in range(256)]
+        #: Of bytes: their ids, where those are bytes too.
+        self.translated = bytes(self.byte_id) if max(self.byte_id) < 256 else None
         #: Of a pair of ids, as one number: the rank of its merge; and by rank: the merged id.
+        self.bits = max(vocab.values()).bit_length()
         self.rank: dict[int, int] = {}
         self.merged: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[vocab[a] << 32 | vocab[b]] = rank
+            self.rank[vocab[a] << self.bits | vocab[b]] = rank
             self.merged.append(vocab[a + b])
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.raw |= {i: s.encode() for s, i in added.items()}
@@ -92,33 +95,41 @@ class ByteBPE:
         self._older: dict[str, tuple[str, int, bytes]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-tokenised piece. Heap entries are rank and position as one number."""
-        byte_id, rank = self.byte_id, self.rank.get
-        ids = [byte_id[b] for b in piece]
+        """Ids of one pre-tokenised piece. Heap entries are rank and position as one number; pair has the rank of each symbol's
+        pair with the next one (-1: none), so an entry whose rank is no longer that of its position is stale."""
+        rank, bits, merged = self.rank.get, self.bits, self.merged
+        ids = list(piece.translate(self.translated)) if self.translated else [self.byte_id[b] for b in piece]
         n = len(ids)
         shift = n.bit_length()
-        heap = [r << shift | i for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
+        pair = [rank(a << bits | b, -1) for a, b in zip(ids, ids[1:], strict=False)]
+        pair.append(-1)
+        heap = [r << shift | i for i, r in enumerate(pair) if r >= 0]
         if not heap:
             return ids
         heapify(heap)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        low, merged = (1 << shift) - 1, self.merged
+        low = (1 << shift) - 1
         while heap:
             top = heappop(heap)
-            i = top & low
+            i, r = top & low, top >> shift
+            if pair[i] != r:
+                continue
             j = after[i]
-            if j >= n or ids[i] < 0 or rank(ids[i] << 32 | ids[j]) != top >> shift:
-                continue  # stale: one of the two has been merged since
-            new = ids[i] = merged[top >> shift]
-            ids[j] = -1
+            new = ids[i] = merged[r]
+            ids[j] = pair[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank(new << 32 | ids[k])) is not None:
+                r = pair[i] = rank(new << bits | ids[k], -1)
+                if r >= 0:
                     heappush(heap, r << shift | i)
+            else:
+                pair[i] = -1
             p = before[i]
-            if p >= 0 and (r := rank(ids[p] << 32 | new)) is not None:
-                heappush(heap, r << shift | p)
+            if p >= 0:
+                r = pair[p] = rank(ids[p] << bits | new, -1)
+                if r >= 0:
+                    heappush(heap, r << shift | p)
         return [x for x in ids if x >= 0]
 
     def _encode_chunk(self, chunk: str) -> tuple[str, int, bytes]:
