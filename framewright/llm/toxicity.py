@@ -392,17 +392,25 @@ PRIOR = {INSULT: (7.0, 8.0, 2.0, 2.0), KIN: (3.0, 4.0, 1.0, 1.0), MENACE: (0.5,
 def weigh(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic weights of the outcomes, drawn to a prior."""
     prior = np.array([w for hit in HITS for w in PRIOR[hit]])
-    w, b = prior.copy(), -2.0
-    for _ in range(60):
-        z = np.column_stack([x, np.ones(len(x))])
-        p = 1 / (1 + np.exp(-np.clip(z @ np.append(w, b), -30, 30)))
-        grad = z.T @ (p - y) + np.append(w - prior, 0.01 * (b + 2))
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1.0] * len(w) + [0.01])
-        step = np.linalg.solve(hess, grad)
-        w, b = w - step[:-1], b - step[-1]
-        if np.abs(step).max() < 1e-8:
+    z = np.column_stack([x, np.ones(len(x))])
+    centre, pull = np.append(prior, -2.0), np.append(np.ones(len(prior)), 0.01)
+
+    def loss(v: np.ndarray) -> float:
+        margin = z @ v
+        return float((np.logaddexp(0, margin) - y * margin).sum() + 0.5 * (pull * (v - centre) ** 2).sum())
+
+    v = centre.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
+        grad = z.T @ (p - y) + pull * (v - centre)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), grad)
+        size = 1.0
+        while size > 1e-6 and loss(v - size * step) > loss(v) - 1e-4 * size * float(grad @ step):
+            size /= 2
+        v = v - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return w, float(b)
+    return v[:-1], float(v[-1])
 
 
 def score(docs: DataFrame, model: Grammar, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
