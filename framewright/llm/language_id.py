@@ -8,12 +8,12 @@ the model is linear after the average, it is sent out as one small table of subw
 size does not depend on the data. At most LANGUAGES languages, the commonest, are told apart.
 
 Rejection is calibrated on a part of the sample kept out of training. A temperature is fitted to its
-log-likelihood. How strange a text is, is the mean log share of its subwords in the training texts
-of the language it is taken for, as a number of deviations from that language's kept-out texts, whose
-spread shrinks with length. The bound lies between what all but REJECT of the kept-out texts reach
-and what texts of each language reach when that language is left out of training: nearer to the
-former, so that known languages stay. A text beyond it, or of a probability below what all but
-REJECT of the kept-out texts have, with a margin, is rejected.
+log-likelihood. How strange a text is, is the mean log share of its subwords in the training texts, all
+languages alike (so that a text in two of them is no stranger than in one), as a number of deviations
+from the kept-out texts, whose spread shrinks with length. The bound lies between what all but REJECT
+of the kept-out texts reach and what texts of each language reach when that language is left out of
+training: nearer to the former, so that known languages stay. A text beyond it is rejected, and one
+whose probability is no better than a guess among the languages.
 
 Defined results: a null text, an empty one or one without letters is 'und' with score 0, and
 rejected; without labelled rows every text is 'und'; equal rows give equal results; long texts are
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GAP, fold_case, lean, shielded, text_chunks, trim
+from .common import _GAP, fold_case, lean, modest, shielded, text_chunks, trim
 
 #: Labelled rows that the model is fitted to, at most about; languages, at most.
 SAMPLE, LANGUAGES = 4_000, 400
@@ -39,8 +39,9 @@ BUCKET_BITS, WIDTH, RATE = 17, 16, 8.0
 EPOCHS, LONGEST, STEPS = 8, 80, 60_000
 #: Sizes of the cuts that are learned from, in subwords.
 CUTS = (15, 400)
-#: Share of the calibration texts that may fall short of a threshold; how far the bound lies towards strange texts.
-REJECT, TOWARDS = 0.001, 0.2
+#: Share of the calibration texts that may fall short of a threshold; how far the bound lies towards strange texts; how much
+#: better than a guess a probability must be.
+REJECT, TOWARDS, GUESS = 0.001, 0.4, 0.1
 #: Weight of subwords never seen, spread over all buckets; bytes that are scored at a time.
 PRIOR, CHUNK = 1.0, 1 << 18
 UNKNOWN = "und"
@@ -85,11 +86,11 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # of each bucket: its logits, divided by the temperature, then its log share in each language
+    table: np.ndarray  # of each bucket: its logits, divided by the temperature, then its log share in all languages
     bias: np.ndarray
-    #: of each language: mean log share of its texts, and their variance as a + b / subwords
-    mean: np.ndarray
-    spread: np.ndarray
+    #: mean log share of texts, and its variance as a + b / subwords
+    mean: float
+    spread: tuple[float, float]
     least_score: float
     least_likeness: float
 
@@ -105,12 +106,11 @@ class Model:
         none = ~has_letter(data, offsets)
         best = scores.argmax(1)
         score = np.where(none, 0.0, scores[np.arange(n), best])
-        like = self.likeness(means[np.arange(n), known + best], best, count)
-        return np.where(none, -1, best), score, none | (score < self.least_score) | (like < self.least_likeness)
+        return np.where(none, -1, best), score, none | (score < self.least_score) | (self.likeness(means[:, known], count) < self.least_likeness)
 
-    def likeness(self, share: np.ndarray, lang: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Deviations from the mean of the language's texts of this size."""
-        return (share - self.mean[lang]) / np.sqrt(self.spread[lang, 0] + self.spread[lang, 1] / np.maximum(count, 1))
+    def likeness(self, share: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Deviations from the mean of texts of this size."""
+        return (share - self.mean) / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(count, 1))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -142,11 +142,12 @@ _SAMPLED = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("bucket", pa.
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Model:
     """Model of labelled's text and lang columns; doc_id only chooses the sample."""
+    modest(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     sizes = {r["lang"]: r["count"] for r in sorted(common, key=lambda r: r["lang"])}
     if not sizes:
-        return Model([], np.zeros((1, 0)), np.zeros(0), np.zeros(0), np.zeros((0, 2)), 1.0, 0.0)
+        return Model([], np.zeros((1, 0)), np.zeros(0), 0.0, (1.0, 0.0), 1.0, 0.0)
     shares = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample / len(sizes) / n) * (1 << 30)))))
     chosen = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))
     rows = labelled.where(chosen).select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(lean(_sampled), "key long, lang string, bucket array<int>")
@@ -198,46 +199,41 @@ def train(languages: list[str], flat: np.ndarray, first: np.ndarray, y: np.ndarr
     for lang in range(n_lang):
         own = [flat[first[k] : first[k + 1]] for k in learned[y[learned] == lang]]
         counts[:, lang] = np.bincount(np.concatenate(own), minlength=buckets) if own else 0
-    shares = np.log((counts + PRIOR / buckets) / (counts.sum(0) + PRIOR))
-    table = np.concatenate([logits, shares], 1)
-    means = np.stack([table[flat[first[k] : first[k + 1]]].mean(0) for k in held]) if len(held) else np.zeros((0, 2 * n_lang))
-    scores, like, truth, n = means[:, :n_lang] + bias, means[:, n_lang:], y[held], size[held]
-    grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
-    loss = [-np.log(np.maximum(softmax(scores / t)[np.arange(len(held)), truth], 1e-12)).mean() if len(held) else 0.0 for t in grid]
-    temperature = float(grid[int(np.argmin(loss))])
-    table[:, :n_lang] /= temperature
-    model = Model(languages, table.astype(np.float32), bias / temperature, np.zeros(n_lang), np.ones((n_lang, 2)), 0.0, -np.inf)
+    shares = (counts + PRIOR / buckets) / (counts.sum(0) + PRIOR)
+    seen = np.log(shares.mean(1))
+    model = Model(languages, np.column_stack([logits, seen]).astype(np.float32), bias, 0.0, (1.0, 1.0), 0.0, -np.inf)
     if not len(held):
         return model
-    for lang in range(n_lang):
-        own = truth == lang
-        if own.any():
-            model.mean[lang] = np.median(like[own, lang])
-            off = (like[own, lang] - model.mean[lang]) ** 2
-            short = off[n[own] <= np.median(n[own])].mean() if len(off) > 3 else 1.0
-            long = off[n[own] > np.median(n[own])].mean() if (n[own] > np.median(n[own])).any() else short
-            a, b = 1 / max(1.0, n[own].mean()), 1 / max(1.0, n[own][n[own] <= np.median(n[own])].mean())
-            slope = max((short - long) / max(b - a, 1e-6), 0.1)
-            model.spread[lang] = max(long - slope * a, 0.01), slope
-    best = scores.argmax(1)
-    model.least_score = 0.8 * float(np.quantile(softmax(scores / temperature).max(1), REJECT))
-    inside = model.likeness(like[np.arange(len(held)), best], best, n)
-    low = float(np.quantile(inside, REJECT))
-    # each language left out in turn: its texts are taken for another, whose shares hold none of them
+    mean_of = lambda values, which: np.stack([values[flat[first[k] : first[k + 1]]].mean(0) for k in which])
+    scores, like, truth, n = mean_of(logits, held) + bias, mean_of(seen, held), y[held], size[held]
+    grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
+    loss = [-np.log(np.maximum(softmax(scores / t)[np.arange(len(held)), truth], 1e-12)).mean() for t in grid]
+    temperature = float(grid[int(np.argmin(loss))])
+    model.table[:, :n_lang] /= temperature
+    model.bias = bias / temperature
+    model.mean = float(np.median(like))
+    # the variance of short and of long cuts gives both parts of the spread
+    off, short = (like - model.mean) ** 2, n <= np.median(n)
+    a, b = (1 / max(1.0, n[x].mean()) if x.any() else 0.0 for x in (~short, short))
+    high, low = (float(off[x].mean()) if x.any() else float(off.mean()) for x in (short, ~short))
+    slope = max((high - low) / max(b - a, 1e-6), 0.1)
+    model.spread = max(low - slope * a, 0.05), slope
+    model.least_score = min(0.8 * float(np.quantile(softmax(scores / temperature).max(1), REJECT)), (1 + GUESS) / n_lang)
+    floor = float(np.quantile(model.likeness(like, n), REJECT))
+    # each language left out in turn: how its texts look to the shares of the others
     strange = []
-    for lang in range(n_lang):
-        own = np.flatnonzero(truth == lang)
-        if n_lang > 1 and len(own):
-            without = np.where(np.arange(n_lang) == lang, -np.inf, scores[own])
-            taken = without.argmax(1)
-            strange.append(model.likeness(like[own, taken], taken, n[own]))
-    high = float(np.quantile(np.concatenate(strange), 0.9)) if strange else low
-    model.least_likeness = low - max(TOWARDS * (low - high), 1.0)
+    for lang in range(n_lang) if n_lang > 1 else ():
+        own = held[truth == lang]
+        if len(own):
+            strange.append(model.likeness(mean_of(np.log(np.delete(shares, lang, 1).mean(1)), own), size[own]))
+    top = float(np.quantile(np.concatenate(strange), 0.9)) if strange else floor
+    model.least_likeness = floor - max(TOWARDS * (floor - top), 1.0)
     return model
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred, lang_score and rejected of every text."""
+    modest(docs.sparkSession)
     if clash := {*keep} & {"lang_pred", "lang_score", "rejected"}:
         raise ValueError(f"columns of the result: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
