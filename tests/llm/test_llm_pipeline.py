@@ -15,7 +15,7 @@ def test_stages(spark, tmp_path):
     rng = random.Random(12)
     items = [(k, prose(rng, "en", 25) + f" q{k} r{k} s{k}. the answer is u{k} v{k}.") for k in range(5)]
     rows = [(i, " ".join(f"{w}{rng.randrange(60)}" if rng.random() < 0.3 else w for w in prose(rng, lang, 130).split()), lang, "s", 5) for i, lang in enumerate(rng.choices(list(LANG), k=90))]
-    passage = " ".join(f"{w}x{k}" for k, w in enumerate(prose(rng, "en", 60).split()))
+    passage = " ".join(f"{w}{100 + k}" for k, w in enumerate(prose(rng, "en", 60).split()))
     rows += [(200, rows[3][1], "en", "s", 5), (201, rows[3][1].replace(".", "", 1), "en", "s", 5), (202, "1234 !!", "en", "s", 5), (203, None, "en", "s", 5)]
     rows += [(210 + k, prose(rng, "en", 100) + " " + passage, "en", "s", 5) for k in range(3)]
     rows += [(220, prose(rng, "en", 60) + " " + items[2][1], "en", "s", 5)]
