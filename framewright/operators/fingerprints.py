@@ -40,9 +40,11 @@ def flips(width: int, most: int) -> list[int]:
 def near_pairs(fingerprints: DataFrame, most: int = 7) -> DataFrame:
     """Pairs of distinct fingerprints at most `most` bits apart (below 9), each once.
 
-    Of b bands at least one differs in no more than most // b bits, so one side is keyed by its bands
-    as they are, the other by its bands with every such flip; bands of 21 bits or more keep the groups
-    that meet small. A pair is taken where its first such band meets.
+    Of b bands at least one differs in no more than most // b bits. Both sides are keyed by their
+    bands with half of these bits turned in every way, so two such bands meet; bands of 21 bits or
+    more keep the groups that meet small. What was turned on either side is where a band differs: of
+    the ways in which two bands meet, the one that turns the lowest such bit on the second side
+    counts, and of a pair's bands the first.
     """
     if not 0 <= most < 9:
         raise ValueError("most must be in 0..8")
@@ -54,12 +56,19 @@ def near_pairs(fingerprints: DataFrame, most: int = 7) -> DataFrame:
     def part(fp: Column, k: int) -> Column:
         return F.shiftrightunsigned(fp, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
 
-    def keys(k: int, masks: list[int]) -> Column:
-        return F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.lit(k).alias("band"), part(F.col("fp"), k).bitwiseXOR(m.cast("bigint")).alias("key")))
+    def keys(k: int, name: str, turned: int) -> Column:
+        masks = F.array(*map(F.lit, flips(cuts[k + 1] - cuts[k], turned)))
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("band"), part(F.col("fp"), k).bitwiseXOR(m.cast("bigint")).alias("key"), m.cast("bigint").alias(f"m_{name}")))
 
-    plain = once.select(F.col("fp").alias("a"), F.explode(F.concat(*(keys(k, [0]) for k in range(bands)))).alias("k")).select("a", "k.*")
-    flipped = once.select(F.col("fp").alias("b"), F.explode(F.concat(*(keys(k, flips(cuts[k + 1] - cuts[k], radius)) for k in range(bands)))).alias("k")).select("b", "k.*")
-    met = plain.join(flipped, ["band", "key"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")))
+    def keyed(name: str, turned: int) -> DataFrame:
+        every = F.concat(*(keys(k, name, turned) for k in range(bands)))
+        return once.select(F.col("fp").alias(name), F.explode(every).alias("k")).select(name, "k.*")
+
+    lower = radius // 2
+    met = keyed("a", radius - lower).join(keyed("b", lower), ["band", "key"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")))
+    if lower:  # it is one bit, as radius is three at most
+        differs = F.col("m_a").bitwiseXOR(F.col("m_b"))
+        met = met.where(F.col("m_b") == differs.bitwiseAND(F.negative(differs)))
     earlier = [(F.col("band") <= k) | (F.bit_count(part(F.col("a").bitwiseXOR(F.col("b")), k)) > radius) for k in range(bands - 1)]
     return met.where((F.col("distance") <= most) & reduce(lambda x, y: x & y, earlier)).select("a", "b", "distance")
 
