@@ -13,41 +13,63 @@ Parquet and read again before the next. What goes and what stays:
 
 Null and empty texts have no language and go in the first stage; an empty table stays empty; extra
 columns are carried through the filtering stages.
+
+The stages run in the same executors, whose heaps grow with each: every stage first lets them shrink.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import bpe, decontaminate, language_id, ngram_join, substring_dedup
-from framewright.llm.common import Scratch, fold, read
+from framewright.llm.common import Scratch, fold, read, settle
 from framewright.llm.queries import tokenizer_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def settled(stage: Stage) -> Stage:
+    """stage, before which executors give back what earlier ones left in their heaps."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@settled
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.language_filter(docs, language_id.fit(docs.where(F.coalesce(fold("doc_id", 4) != 2, F.lit(True)))))
 
 
+@settled
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.keep_representatives(docs)
 
 
+@settled
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_documents(docs)
 
 
+@settled
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
+@settled
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, tokenizer_path(), ("doc_id", "lang", "source"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", by_language),
     ("ngram_join", without_near_copies),
     ("substring_dedup", without_repeated_passages),

@@ -72,6 +72,12 @@ def trim() -> None:
         _libc().malloc_trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let every executor's JVM collect its garbage: a heap that has grown to its limit then shrinks, and the Python workers have room beside it."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the worker (which Spark keeps for later tasks) gives its memory back."""
 

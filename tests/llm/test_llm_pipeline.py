@@ -48,6 +48,17 @@ def test_stages(spark, tmp_path):
     assert {(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {(r.doc_id, tuple(r.ids)) for r in after["bpe"]}
 
 
+def test_stages_let_heaps_shrink(spark):
+    """What earlier stages left in an executor's heap is collected before the next one starts."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "Mark" in b.getName())
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[-1:]:
+        before = full()
+        stage(spark, docs, "")
+        assert full() > before, name
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_oracle(spark, name):
     """The queries that SQL can express against DuckDB, on the smallest tables."""
