@@ -3,8 +3,8 @@
 The compatible mode follows the order-sensitive merge of cues and frames exactly, in closed form: a
 cue starts one frame early, but not before the frame the last cue ended on; its last frame comes
 twice; a cue that overlaps the one before by more than a frame, or ends before it starts, ends the
-media's join. The running end of the cues so far is a window maximum, the frames of a cue a
-sequence, and the fingerprints an equi-join, so nothing is folded row by row.
+media's join. The running end of the cues so far is a window maximum, and the fingerprints a join on
+media and BLOCK of frames, so nothing is folded row by row, and a cue is as many rows as it touches blocks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.timeline import FPS, time_to_frame
 
+#: Cues and fingerprints meet in blocks of so many frames, as a power of two.
+BLOCK = 8
+
 
 def with_frames(cues: DataFrame, fps: float = FPS) -> DataFrame:
     """Cues with fs and fe, the frames of their start and end."""
@@ -46,11 +49,17 @@ def cue_fingerprints(cues: DataFrame, fingerprints: DataFrame, fps: float = FPS,
     else:
         lengths = fingerprints.groupBy("media_id").agg((F.max("frame_id") + 1).alias("n")) if lengths is None else lengths
         spans = cue_spans(cues, lengths)
-    frames = F.when(F.col("last") >= F.col("first"), F.sequence("first", "last"))
-    frames = F.when(F.col("twice"), F.concat(frames, F.array("last"))).otherwise(frames)
-    rows = spans.select("media_id", "cue_pos", "cue_index", F.posexplode(frames).alias("at", "frame_id"))
-    joined = rows.join(fingerprints.select("media_id", "frame_id", "fp"), ["media_id", "frame_id"])
-    return joined.select("media_id", "cue_pos", "cue_index", "frame_id", "fp", F.col("at").alias("emit_seq"))
+    def piece(low: str, high: str, turn: Column) -> Column:
+        return F.struct(F.col(low).alias("low"), F.col(high).alias("high"), turn.alias("turn"))
+
+    whole, again = piece("first", "last", F.col("first")), piece("last", "last", F.col("first") - 1)
+    pieces = F.when(F.col("last") >= F.col("first"), F.when(F.col("twice"), F.array(whole, again)).otherwise(F.array(whole)))
+    rows = spans.select("media_id", "cue_pos", "cue_index", F.explode(pieces).alias("p")).select("media_id", "cue_pos", "cue_index", "p.*")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.shiftright("low", BLOCK), F.shiftright("high", BLOCK))))
+    frames = fingerprints.select("media_id", F.col("frame_id").cast("bigint").alias("frame_id"), "fp").withColumn("block", F.shiftright("frame_id", BLOCK))
+    # Spark takes exploded rows to be few, and would send all frames to the driver to be broadcast; the pieces are the small side
+    joined = frames.join(rows.hint("shuffle_hash"), ["media_id", "block"]).where(F.col("frame_id").between(F.col("low"), F.col("high")))
+    return joined.select("media_id", "cue_pos", "cue_index", "frame_id", "fp", (F.col("frame_id") - F.col("turn")).cast("int").alias("emit_seq"))
 
 
 def rows_of(cue_fp: DataFrame, size: int = 8) -> DataFrame:

@@ -78,8 +78,9 @@ def film_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shown_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(media_id, frame_id, fp): the frames of each conversation's film."""
-    frames = film_lengths(spark, sf_dir).select("media_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("frame_id"))
+    """(media_id, frame_id, fp): the frames of each conversation's film, which are many for each row of lengths: hence the parts."""
+    parts = max(96, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    frames = film_lengths(spark, sf_dir).repartition(parts, "media_id").select("media_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("frame_id"))
     return frames.withColumn("fp", F.col("frame_id") * 7919 + F.length("media_id"))
 
 

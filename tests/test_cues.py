@@ -175,6 +175,48 @@ def test_film_shorter_than_its_cues(spark):
     assert got[1][-2:] == [44, 44]
 
 
+def joins(df):
+    """The joins of a query's plan, by Spark's names and keys."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [line.strip(" :+-") for line in plan if "Join [" in line]
+
+
+@pytest.mark.parametrize("mode", ["compatible", "clean"])
+def test_frames_are_not_broadcast(spark, mode):
+    """Frames made of a few lengths look small to Spark; they must not go through the driver."""
+    table = spark.createDataFrame([("m", k, str(k), 1000 * k, 1000 * k + 800, "t") for k in range(4)], "media_id string, cue_pos int, cue_index string, start_ms bigint, end_ms bigint, text string")
+    lengths = spark.range(1).select(F.lit("m").alias("media_id"), F.lit(80).cast("bigint").alias("n"))
+    frames = lengths.select("media_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("frame_id")).withColumn("fp", F.col("frame_id"))
+    found = cues.cue_fingerprints(table, frames, mode=mode, lengths=lengths)
+    for df in (found, cues.rows_of(found), cues.first_frames(found)):
+        assert not [j for j in joins(df) if j.startswith("Broadcast") and ("block" in j or "frame_id" in j)]
+        assert [j for j in joins(df) if "Broadcast" not in j]
+
+
+@pytest.mark.parametrize("mode", ["compatible", "clean"])
+def test_long_cues_and_gaps(spark, mode):
+    """Cues over many blocks of frames, some frames missing and some there twice, against the spans counted out."""
+    rng = random.Random(16)
+    spans, at = [], 0
+    for length in (0, 255, 256, 257, 3, 1000, 1):
+        spans.append((at, at + length))
+        at += length + rng.randint(0, 2)
+    ids = [f for f in range(-300, at + 50) if f % 7 != 3] + [f for f in range(at) if f % 11 == 0]
+    table = spark.createDataFrame([("m", k, str(k), a * 40, b * 40, "t") for k, (a, b) in enumerate(spans)], "media_id string, cue_pos int, cue_index string, start_ms bigint, end_ms bigint, text string")
+    frames = spark.createDataFrame([("m", f, f * 3) for f in ids], "media_id string, frame_id bigint, fp bigint")
+    exact = [(int(a * 40 / 1000.0 * 25), int(b * 40 / 1000.0 * 25)) for a, b in spans]
+    if mode == "clean":
+        rows = [(k, f) for k, (a, b) in enumerate(exact) for f in range(a, b + 1)]
+    else:
+        rows = closed(exact, max(ids) + 1)
+    number, want = {}, []
+    for k, f in rows:
+        number[k] = number.get(k, -1) + 1
+        want += [(k, f, f * 3, number[k])] * ids.count(f)
+    got = cues.cue_fingerprints(table, frames, mode=mode).select("cue_pos", "frame_id", "fp", "emit_seq").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000
+
+
 def test_titles(spark):
     hits = spark.createDataFrame([(0, "Turtles"), (1, "Ninja Turtles"), (2, "Ninja Turtles"), (3, None)], "pos int, title string")
     assert align.best_title(hits, "Ninja Turtle").first().pos == 1
