@@ -65,7 +65,8 @@ def near_pairs(fingerprints: DataFrame, most: int = 7) -> DataFrame:
         return once.select(F.col("fp").alias(name), F.explode(every).alias("k")).select(name, "k.*")
 
     lower = radius // 2
-    met = keyed("a", radius - lower).join(keyed("b", lower), ["band", "key"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")))
+    # Spark takes exploded rows to be as few as the fingerprints, and would broadcast the keys of one side through the driver
+    met = keyed("a", radius - lower).join(keyed("b", lower).hint("merge"), ["band", "key"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")))
     if lower:  # it is one bit, as radius is three at most
         differs = F.col("m_a").bitwiseXOR(F.col("m_b"))
         met = met.where(F.col("m_b") == differs.bitwiseAND(F.negative(differs)))

@@ -113,6 +113,13 @@ def test_near_pairs(spark):
         assert {(r.a, r.b) for r in fingerprints.near_pairs(df, most).collect()} == want
 
 
+def test_near_pairs_keys_are_not_broadcast(spark):
+    """A fingerprint has many keys, which Spark takes to be as few as the fingerprints; they must not go through the driver."""
+    df = spark.range(50).select((F.col("id") * 7919).alias("fp"))
+    for most in (3, 7, 8):
+        assert "Broadcast" not in fingerprints.near_pairs(df, most)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_concat(spark):
     rows = [(p, f) for p, n in ((3, 4), (1, 2), (7, 3)) for f in range(n)]
     got = {(r.file_pos, r.frame_id): r.new_frame_id for r in fingerprints.concat_media(spark.createDataFrame(rows, "file_pos int, frame_id bigint")).collect()}
