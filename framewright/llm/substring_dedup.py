@@ -233,12 +233,12 @@ def verdicts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     return scratch.only(found, "verdicts")
 
 
-def with_verdicts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with _id, _whole, _starts, _windows; only those that may have a verdict are shuffled."""
+def with_verdicts(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those docs that may have a verdict, with _id, _whole, _starts, _windows; and the others, which are not shuffled."""
     side = found.withColumnsRenamed({"doc_id": "_id", "h": "_h", "whole": "_whole", "starts": "_starts", "windows": "_windows"})
     some = among(docs, found)
     some = some.join(side.hint("merge"), (some["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(some["text"]) == F.col("_h")), "left").drop("_h")
-    return some.unionByName(among(docs, found, "left_anti"), allowMissingColumns=True)
+    return some, among(docs, found, "left_anti")
 
 
 def kept_words(text: bytes, whole: bool | None, starts: np.ndarray | None, windows: np.ndarray | None, window: int) -> tuple[int, list[bytes]]:
@@ -273,7 +273,8 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     sha.append(hashlib.sha256(b" ".join(stay)).hexdigest())
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(sha, pa.string())], schema=schema)
 
-    rows = with_verdicts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found)
+    some, others = with_verdicts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found)
+    rows = some.unionByName(others, allowMissingColumns=True)
     return rows.select("doc_id", "text", "_whole", "_starts", "_windows").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -283,16 +284,20 @@ def dedup_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     inner, restored = shielded(docs)
 
     @F.pandas_udf("string")
-    def rest(texts: pd.Series, whole: pd.Series, starts: pd.Series, windows: pd.Series) -> pd.Series:
-        out = []
-        for text, all_gone, at, size in zip(texts, whole, starts, windows, strict=True):
-            if text is None or (not all_gone and at is None):
-                out.append(text)
-            else:
-                out.append(b" ".join(kept_words(text.encode(), bool(all_gone), at, size, window)[1]).decode())
-        return pd.Series(out, dtype=object)
-
-    rows = with_verdicts(inner, found)
-    rows = rows.withColumn("_rest", rest("text", F.coalesce("_whole", F.lit(False)), "_starts", "_windows"))
+    @lean
+    def rest(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for text, all_gone, at, size in zip(*batch, strict=True):
+                if text is None or (not all_gone and at is None):
+                    out.append(text)
+                else:
+                    out.append(b" ".join(kept_words(text.encode(), bool(all_gone), at, size, window)[1]).decode())
+            yield pd.Series(out, dtype=object)
+
+    some, others = with_verdicts(inner, found)
+    # told to be nondeterministic, else Spark evaluates it once for the filter and once for the text, in two workers side by side
+    some = some.withColumn("_rest", rest.asNondeterministic()("text", F.coalesce("_whole", F.lit(False)), "_starts", "_windows"))
     lost = F.col("_id").isNotNull() & (F.col("_rest") == "")
-    return restored(rows.where(~F.coalesce(lost, F.lit(False))).withColumn("text", F.col("_rest")))
+    some = some.where(~F.coalesce(lost, F.lit(False))).withColumn("text", F.col("_rest"))
+    return restored(some.select(inner.columns).unionByName(others))

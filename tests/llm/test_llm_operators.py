@@ -362,6 +362,16 @@ def test_substring_dedup_edges(spark):
     assert 8 not in texts and texts[20] is None and texts[21] == "" and texts[4] == "q" and texts[5] == rows[4][1]
 
 
+def test_substring_dedup_reduces_texts_once(spark):
+    """A task of the last pass has one Python worker, not one for the filter and one for the text."""
+    rows = corpus(1, 60)
+    kept = substring_dedup.dedup_documents(table(spark, rows))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    want = Counter((k[0], k[1] - k[2], k[3]) for k in removed(rows, 50).elements() if k[1] > k[2])
+    got = Counter((r.doc_id, len(w := (r.text or "").encode().split()), hashlib.sha256(b" ".join(w)).hexdigest()) for r in kept.collect() if (r.text or "").split())
+    assert got == want
+
+
 # ---- 5 -----------------------------------------------------------------------------------
 
 
