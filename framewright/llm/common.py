@@ -180,6 +180,11 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data], to read only, for a table of 256 bytes or booleans."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def fold_case(data: np.ndarray) -> np.ndarray:
     """Lower case of A-Z and of the accented capitals of Latin-1, in UTF-8."""
     out = _LOWER[data]
@@ -217,14 +222,14 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, terms: bool = False):
         n = len(data)
         if lower:
-            data = fold_case(data) if terms and n else _LOWER[data]
+            data = fold_case(data) if terms and n else mapped(data, _LOWER)
         self.data = data
         if n == 0:
             self._total = np.zeros(1, np.uint64)
             self.starts = self.ends = np.zeros(0, np.int64)
             self.hashes, self.first = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
             return
-        solid = ~(_GAP if terms else _SPACE)[data]
+        solid = mapped(data, ~(_GAP if terms else _SPACE))
         begin = solid.copy()
         begin[1:] &= ~solid[:-1]
         cuts = offsets[:-1][offsets[:-1] < n]

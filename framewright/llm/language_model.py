@@ -15,13 +15,13 @@ the state carried from window to window, once on every training text: a hash dea
 of about SHARD tokens (PER_WORD for each word of the output, if that is more), each shard is a pass
 of its own from the same weights, in as many parallel streams (STREAMS at most) as leave it STEPS steps,
 and the weights are merged, a shard counting by its tokens. The shards grow in number with the corpus,
-and the weights are merged by the executors in parts of PART numbers. Biases start from the corpus counts. Scoring too goes by windows and carries the state across, from a
-text's first token to its end: texts of one batch are sorted by length and advance together, and
-each is scored whole.
+and the weights are merged by the executors in parts of PART numbers. Biases start from the corpus counts. Scoring carries the state from a text's first token
+to its end: texts of one batch are sorted by length and advance together, and each is scored whole.
 
 A word's count is needed wherever it occurs. The FREQUENT commonest are sent to the executors (a
-bounded table, or the output's words if they are more); occurrences of others are joined to the table of counts by word, one row per word
-and distinct text.
+bounded table, or the output's words if they are more); the scored texts are written with the others that
+occur in each, and these are joined to the table of counts by word, one row per word and text. What comes
+of equal texts is added up and shared out among them.
 
 Defined results: a null text is empty and has the end alone; rows with a null id are never held out;
 equal rows get equal scores; without training texts every count is 0 and the network untrained; an
@@ -33,7 +33,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,14 @@ EACH = 4_096
 SHARD, PER_WORD, PART = 1 << 22, 512, 1 << 16
 EMBED, HIDDEN, WINDOW, STREAMS, STEPS, RATE = 16, 24, 16, 512, 256, 4e-3
 FREQUENT = 150_000
+#: Steps from where a hash's leading bits point, before it is sought by halves.
+NEAR = 3
 #: Tokens that are counted together.
 COUNTED = 1 << 21
 #: Texts that advance together; texts that are sorted by length for it.
 TOGETHER, SORTED = 2_048, 8_192
+#: Tokens of these texts, as many steps as they make, whose words are looked up and whose probabilities are taken at once.
+BLOCK = 16_384
 END = np.uint64(word_hash("\x00 end of text"))
 UNKNOWN = CLASSES * MEMBERS
 
@@ -70,18 +75,26 @@ def output_size(words: int) -> int:
 
 
 def log_total(x: np.ndarray) -> np.ndarray:
-    top = x.max(1, keepdims=True)
-    return np.log(np.exp(x - top).sum(1)) + top[:, 0]
+    """Log of each column's sum of exponentials; x is used up."""
+    top = x.max(0)
+    x -= top
+    np.exp(x, out=x)
+    return np.log(x.sum(0)) + top
 
 
 def probabilities(x: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place."""
-    x -= x.max(1, keepdims=True)
+    """Softmax of each column, in place."""
+    x -= x.max(0)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= x.sum(0)
     return x
 
 
+def in_order(x: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of x, whole numbers up to most: by radix where they are short."""
+    return np.argsort(x.astype(np.min_scalar_type(most)), kind="stable")
+
+
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
@@ -106,85 +119,130 @@ class Network:
             "words": 0.1 * draw(classes, HIDDEN, members), "word_bias": np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32),
         })
 
+    def inputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows for each word, and the weights that make drives of them; the last of both is for the bias."""
+        p = self.p
+        return np.append(p["embed"], np.ones((len(p["embed"]), 1), p["embed"].dtype), 1), np.vstack((p["inward"], p["bias"]))
+
     def step(self, drive: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state from the input's drive: update and reset gates, candidate, and state."""
-        around = h @ self.p["around"]
-        gates = sigmoid(drive[:, : 2 * HIDDEN] + around[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(drive[:, 2 * HIDDEN :] + r * around[:, 2 * HIDDEN :])
-        return z, r, n, around[:, 2 * HIDDEN :], n + z * (h - n)
+        """Next state from the input's drive: update and reset gates, candidate, and state; one row for each stream."""
+        return tuple(x.T for x in self.advance(drive.T, h.T, np.empty(h.T.shape, h.dtype)))
+
+    def advance(self, drive: np.ndarray, h: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, ...]:
+        """step with one row for each unit, so that numpy runs along the streams; the next state goes to new."""
+        around = self.p["around"].T @ h
+        gates, a = around[: 2 * HIDDEN], around[2 * HIDDEN :]
+        gates += drive[: 2 * HIDDEN]
+        sigmoid(gates)
+        z, r = gates[:HIDDEN], gates[HIDDEN:]
+        n = r * a
+        n += drive[2 * HIDDEN :]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=new)
+        new *= z
+        new += n
+        return z, r, n, a, new
+
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each target; their order by class, another word last; and where each class begins in it."""
+        classes, members = self.p["word_bias"].shape
+        group = np.minimum(target // members, classes)
+        cut = np.append(0, np.cumsum(np.bincount(group, minlength=classes + 1)[:classes]))
+        return group, in_order(group, classes), cut
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability given its state."""
-        classes, members = self.p["word_bias"].shape
-        out = h @ self.p["classes"] + self.p["class_bias"]
-        group = np.minimum(target // members, classes)
-        log_p = out[np.arange(len(h)), group] - log_total(out)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(classes + 1))
-        for k in range(classes):
-            own = order[cut[k] : cut[k + 1]]
-            if len(own):
-                inner = h[own] @ self.p["words"][k] + self.p["word_bias"][k]
-                log_p[own] += inner[np.arange(len(own)), target[own] % members] - log_total(inner)
+        p, members = self.p, self.p["word_bias"].shape[1]
+        group, order, cut = self.by_class(target)
+        inside = order[: cut[-1]]
+        out = p["classes"].T @ h.T
+        out += p["class_bias"][:, None]
+        log_p = out[group, np.arange(len(target))]
+        log_p -= log_total(out)
+        state = h.T.take(inside, 1)
+        inner = np.empty((members, len(inside)), state.dtype)
+        for k in np.flatnonzero(np.diff(cut)):
+            own = inner[:, cut[k] : cut[k + 1]]
+            np.matmul(p["words"][k].T, state[:, cut[k] : cut[k + 1]], out=own)
+            own += p["word_bias"][k][:, None]
+        log_p[inside] += inner[target[inside] % members, np.arange(len(inside))] - log_total(inner)
         return log_p
 
     def gradients(self, x: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Of the mean loss over one window (inputs and targets: steps x streams), the last state, and the loss."""
         p, steps, streams = self.p, *x.shape
-        classes, members = p["word_bias"].shape
-        drive_table = p["embed"] @ p["inward"] + p["bias"]
-        trace, states = [], np.empty((steps, streams, HIDDEN), h.dtype)
-        start = h
-        for t in range(steps):
-            z, r, n, a, new = self.step(drive_table[x[t]], h)
-            trace.append((z, r, n, a, h))
-            states[t] = h = new
-        flat, goal = states.reshape(-1, HIDDEN), target.ravel()
-        rows = np.arange(len(goal))
+        words, goal = x.ravel(), target.ravel()
+        size, members = p["word_bias"].size, p["word_bias"].shape[1]
+        table, weights = self.inputs()
+        rows = table[words]
+        drive = weights.T @ rows.reshape(steps, streams, -1).transpose(0, 2, 1)
+        # one row for each unit and a last one of ones, for the biases; the states before and after each step
+        states = np.ones((HIDDEN + 1, steps + 1, streams), h.dtype)
+        states[:HIDDEN, 0] = h.T
+        trace = [self.advance(drive[t], states[:HIDDEN, t], states[:HIDDEN, t + 1]) for t in range(steps)]
+        before = states[:HIDDEN, :-1].reshape(HIDDEN, -1)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        group = np.minimum(goal // members, classes)
-        d = probabilities(flat @ p["classes"] + p["class_bias"])
-        loss = -np.log(d[rows, group]).sum()
-        d[rows, group] -= 1
-        d /= len(goal)
-        g["classes"], g["class_bias"] = flat.T @ d, d.sum(0)
-        back = d @ p["classes"].T
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(classes + 1))
-        member = goal % members
-        for k in np.flatnonzero(np.diff(cut)):
-            own = order[cut[k] : cut[k + 1]]
-            state = flat[own]
-            d = probabilities(state @ p["words"][k] + p["word_bias"][k])
-            at = rows[: len(own)], member[own]
-            loss -= np.log(d[at]).sum()
-            d[at] -= 1
-            d /= len(goal)
-            g["words"][k], g["word_bias"][k] = state.T @ d, d.sum(0)
-            back[own] += d @ p["words"][k].T
-        back = back.reshape(steps, streams, HIDDEN)
-        dh = np.zeros_like(start)
-        d_drive = np.empty((steps, streams, 3 * HIDDEN), h.dtype)
-        d_around = np.empty((streams, 3 * HIDDEN), h.dtype)
+        group, order, cut = self.by_class(goal)
+        group, goal = group[order], goal[order]
+        flat = states[:, 1:].reshape(HIDDEN + 1, -1).take(order, 1)
+        d = probabilities(np.vstack((p["classes"], p["class_bias"])).T @ flat)
+        at = group, np.arange(len(goal))
+        loss = -np.log(d[at]).sum()
+        d[at] -= 1
+        both = flat @ d.T
+        g["classes"], g["class_bias"] = both[:HIDDEN], both[HIDDEN]
+        back = p["classes"] @ d
+        inner = np.concatenate((p["words"], p["word_bias"][:, None]), 1)
+        d = np.empty((members, cut[-1]), h.dtype)
+        parts = [(k, slice(cut[k], cut[k + 1])) for k in np.flatnonzero(np.diff(cut))]
+        for k, own in parts:
+            np.matmul(inner[k].T, flat[:, own], out=d[:, own])
+        probabilities(d)
+        at = goal[: cut[-1]] % members, np.arange(cut[-1])
+        loss -= np.log(d[at]).sum()
+        d[at] -= 1
+        for k, own in parts:
+            both = flat[:, own] @ d[:, own].T
+            g["words"][k], g["word_bias"][k] = both[:HIDDEN], both[HIDDEN]
+            back[:, own] += p["words"][k] @ d[:, own]
+        turn = np.empty_like(order)
+        turn[order] = np.arange(len(order))
+        back = back.take(turn, 1).reshape(HIDDEN, steps, streams)
+        dh = np.zeros((HIDDEN, streams), h.dtype)
+        # by rows: candidate, both gates, and the candidate's part that came around; the drive has the first three, the weights around the last three
+        deltas = np.empty((4 * HIDDEN, steps, streams), h.dtype)
+        turned = lambda x, by: np.roll(x, by * HIDDEN, -1)
         for t in range(steps - 1, -1, -1):
-            z, r, n, a, before = trace[t]
-            dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            own = d_drive[t]
-            own[:, :HIDDEN] = dh * (before - n) * z * (1 - z)
-            own[:, HIDDEN : 2 * HIDDEN] = dn * a * r * (1 - r)
-            own[:, 2 * HIDDEN :] = dn
-            d_around[:, : 2 * HIDDEN] = own[:, : 2 * HIDDEN]
-            d_around[:, 2 * HIDDEN :] = dn * r
-            g["around"] += before.T @ d_around
-            dh = dh * z + d_around @ p["around"].T
-        d_drive, words = d_drive.reshape(-1, 3 * HIDDEN), x.ravel()
-        g["bias"], g["inward"] = d_drive.sum(0), p["embed"][words].T @ d_drive
-        order = np.argsort(words, kind="stable")
-        seen, begin = np.unique(words[order], return_index=True)
-        g["embed"][seen] = np.add.reduceat((d_drive @ p["inward"].T)[order], begin)
-        return g, h, float(loss / len(goal))
+            z, r, n, a, _ = trace[t]
+            dn, dz, dr, reset = deltas[:, t].reshape(4, HIDDEN, streams)
+            dh += back[:, t]
+            kept = dh * z
+            dh -= kept
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= dh
+            np.multiply(dn, r, out=reset)
+            np.subtract(states[:HIDDEN, t], n, out=dz)
+            dz *= kept
+            np.subtract(1, z, out=z)
+            dz *= z
+            np.subtract(1, r, out=r)
+            np.multiply(reset, a, out=dr)
+            dr *= r
+            dh = p["around"] @ deltas[HIDDEN:, t]
+            dh += kept
+        deltas = deltas.reshape(4 * HIDDEN, -1)
+        d_drive = deltas[: 3 * HIDDEN]
+        g["around"] = (deltas[HIDDEN:] @ before.T).T
+        both = turned((d_drive @ rows).T, -1)
+        g["inward"], g["bias"] = both[:-1], both[-1]
+        order = in_order(words, size)
+        count = np.bincount(words, minlength=size + 1)
+        seen = np.flatnonzero(count)
+        g["embed"][seen] = np.add.reduceat((d_drive.T @ turned(p["inward"], 1).T)[order], (np.cumsum(count) - count)[seen])
+        for v in g.values():
+            v /= len(goal)
+        return g, states[:HIDDEN, -1].T, float(loss / len(goal))
 
     def train(self, texts: list[np.ndarray], passes: int = 1, seed: int = 7) -> list[float]:
         """Truncated backpropagation over the texts, laid end to end in parallel streams; the losses."""
@@ -208,41 +266,40 @@ class Network:
                 g, h, loss = self.gradients(x[at], y[at], h)
                 losses.append(loss)
                 step += 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                rate = RATE * (1 - 0.9 * step / (passes * windows + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
+                rate = RATE * (1 - 0.9 * step / (passes * windows + 1)) * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, v in g.items():
                     v *= min(1.0, 1.0 / max(norm, 1e-9))
                     first[k] += 0.1 * (v - first[k])
                     second[k] += 0.001 * (v * v - second[k])
-                    self.p[k] -= (rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+                    self.p[k] -= rate * first[k] / (np.sqrt(second[k]) + 1e-8)
         return losses
 
     def score(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log-likelihood (natural) of each text's tokens flat[first[k]:first[k+1]], each from a fresh state."""
         size, total = np.diff(first), np.zeros(len(first) - 1)
-        drive_table = self.p["embed"] @ self.p["inward"] + self.p["bias"]
-        begin = drive_table[self.end_id]
+        table, weights = self.inputs()
         by_length = np.argsort(-size, kind="stable")
         for at in range(0, len(by_length), TOGETHER):
             own = by_length[at : at + TOGETHER]
             start, length = first[:-1][own], size[own]
-            h = np.zeros((len(own), HIDDEN), np.float32)
+            h = np.zeros((HIDDEN, len(own)), np.float32)
             active = len(own) - np.searchsorted(length[::-1], np.arange(length[0]), "right")  # at each step: those not yet ended
-            drive = np.broadcast_to(begin, (len(own), 3 * HIDDEN))
-            for w in range(0, int(length[0]), WINDOW):
-                states, goals, texts = [], [], []
-                for t in range(w, min(w + WINDOW, int(length[0]))):
-                    n = int(active[t])
-                    if t:
-                        drive, h = drive_table[flat[start[:n] + t - 1]], h[:n]
-                        h = self.step(drive, h)[-1]
-                    else:
-                        h = self.step(drive, h)[-1]
-                    states.append(h)
-                    goals.append(flat[start[:n] + t])
-                    texts.append(own[:n])
-                log_p = self.log_probability(np.concatenate(states), np.concatenate(goals))
-                total += np.bincount(np.concatenate(texts), log_p, len(total))
+            w = 0
+            while w < len(active):
+                n = active[w : w + max(1, BLOCK // int(active[w]))]
+                cut = np.append(0, np.cumsum(n)).tolist()
+                text = np.arange(cut[-1]) - np.repeat(cut[:-1], n)
+                place = start[text] + np.repeat(np.arange(w, w + len(n)), n)
+                before = flat[place - 1]
+                if w == 0:
+                    before[: n[0]] = self.end_id
+                drive = weights.T @ table[before].T
+                states = np.empty((HIDDEN, cut[-1]), h.dtype)
+                for a, b in pairwise(cut):
+                    h = self.advance(drive[:, a:b], h[:, : b - a], states[:, a:b])[-1]
+                total += np.bincount(own[text], self.log_probability(states.T, flat[place]), len(total))
+                w += len(n)
         return total
 
     @property
@@ -263,19 +320,51 @@ class Vocabulary:
     end: int
     unknown: int  # size of the output
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (-1: not among the frequent) and output id of each word."""
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("begin", "logs")}
+
+    @cached_property
+    def logs(self) -> np.ndarray:
+        return np.log10(self.counts + 1.0)
+
+    @cached_property
+    def begin(self) -> np.ndarray:
+        """Where the hashes of each leading run of bits begin: they spread evenly, so few share a run."""
+        bits = len(self.hashes).bit_length() + 2
+        runs = (self.hashes >> np.uint64(64 - bits)).astype(np.int64)
+        return np.append(0, np.cumsum(np.bincount(runs, minlength=1 << bits))).astype(np.int32)
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """np.searchsorted(self.hashes, hashes), but the last for hashes beyond all."""
+        last = len(self.hashes) - 1
+        at = np.minimum(self.begin[hashes >> np.uint64(65 - len(self.begin).bit_length())], last)
+        late = np.flatnonzero(self.hashes[at] < hashes)
+        for _ in range(NEAR):
+            at[late] = np.minimum(at[late] + 1, last)
+            late = late[(self.hashes[at[late]] < hashes[late]) & (at[late] < last)]
+        at[late] = np.minimum(np.searchsorted(self.hashes, hashes[late]), last)
+        return at
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word is among the frequent; its output id, and log10 of its count and one (0 if it is not)."""
         if not len(self.hashes):
-            return np.full(len(hashes), -1), np.full(len(hashes), self.unknown)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            return np.zeros(len(hashes), bool), np.full(len(hashes), self.unknown), np.zeros(len(hashes))
+        at = self.place(hashes)
         known = self.hashes[at] == hashes
-        return np.where(known, self.counts[at], -1), np.where(known, self.ids[at], self.unknown)
+        ids, logs = self.ids[at], self.logs[at]
+        other = np.flatnonzero(~known)
+        ids[other], logs[other] = self.unknown, 0
+        return known, ids, logs
 
 
 def tokens(words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every text's words and its end, and where each text's begin."""
-    texts = len(words.first) - 1
-    return np.insert(words.hashes, words.first[1:], END), words.first + np.arange(texts + 1)
+    first = words.first + np.arange(len(words.first))
+    word = np.ones(first[-1], bool)
+    word[first[1:] - 1] = False
+    hashes = np.full(first[-1], END)
+    hashes[word] = words.hashes
+    return hashes, first
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,36 +449,46 @@ def merged(shards: DataFrame, network: Network, seed: int) -> Network:
     return Network(p, found["tokens"][0].as_py())
 
 
-def fit(training: DataFrame, vocab: Vocabulary, scratch: Scratch, tokens_each: int | None = None) -> Network:
+def fit(training: DataFrame, vocab: Vocabulary, _: Scratch, tokens_each: int | None = None) -> Network:
+    """The trained network. The shards are read once, so they go to their tasks by the shuffle alone."""
     inside = vocab.ids < vocab.unknown
     in_order = np.zeros(vocab.unknown)
     in_order[vocab.ids[inside]] = vocab.counts[inside]
     network = Network.new(in_order, vocab.total - in_order.sum())
-    shards = scratch.put(sharded(training, vocab, tokens_each or max(SHARD, PER_WORD * vocab.unknown)), "shards")
-    network = merged(shards, network, 7)
-    scratch.drop("shards")
+    network = merged(sharded(training, vocab, tokens_each or max(SHARD, PER_WORD * vocab.unknown)), network, 7)
     network.p["end"] = np.array([vocab.end])
     return network
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int32())])))])
+_SCORED_DDL = "doc_id long, held_out boolean, h long, n_tokens long, known long, base double, model double, rare array<struct<word: long, times: int>>"
+
+
+def _rare(hashes: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens at these places: each text's distinct words, how often each comes, and how many each text has."""
+    texts = len(first) - 1
+    w, owner = hashes[at], np.searchsorted(first, at, "right") - 1
+    order = np.argsort(w)
+    order = order[in_order(owner[order], texts)]
+    w, owner = w[order], owner[order]
+    new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (owner[1:] != owner[:-1]))[: len(w)])
+    return w[new].view(np.int64), np.diff(np.append(new, len(w))).astype(np.int32), np.bincount(owner[new], minlength=texts)
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, vocab = shared.value
-        floor = np.log10(vocab.total + vocab.distinct + 1)
+        floor, floor_other = np.log10(vocab.total + vocab.distinct + 1), np.log10(vocab.outside)
         for some in gathered(batches, SORTED):
             held, sizes = [], [np.zeros(1, np.int64)]
-            known, base, inner = [], [], []
+            known, base, inner, rare = [], [], [], []
             for words in (words for batch in some for _, _, words in word_chunks(batch.column(3), lower=True)):
                 hashes, first = tokens(words)
-                c, ids = vocab.find(hashes)
-                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                seen = np.where(c > 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
-                known.append(np.bincount(owner, c > 0, len(first) - 1).astype(np.int64))
-                base.append(np.bincount(owner, seen, len(first) - 1))
-                inner.append(np.bincount(owner, np.where(ids == vocab.unknown, seen - np.log10(vocab.outside), 0.0), len(first) - 1))
+                seen, ids, logs = vocab.find(hashes)
+                known.append(np.add.reduceat(seen, first[:-1], dtype=np.int64))  # no text is without tokens
+                base.append(np.add.reduceat(logs, first[:-1]))
+                inner.append(np.add.reduceat(np.where(ids == vocab.unknown, logs - floor_other, 0.0), first[:-1]))
+                rare.append(_rare(hashes, np.flatnonzero(~seen), first))
                 held.append(ids.astype(np.int32))
                 sizes.append(np.diff(first))
             size = np.concatenate(sizes)
@@ -397,26 +496,10 @@ def _score(shared):
             scores = network.score(flat, first) / np.log(10) + np.concatenate(inner)
             own = pa.Table.from_batches(some).select([0, 1, 2])
             made = [size[1:], np.concatenate(known), np.concatenate(base) - size[1:] * floor, scores]
-            yield from pa.table([*own.columns, *map(pa.array, made)], schema=_SCORED).combine_chunks().to_batches()
-
-    return run
-
-
-def _rare(shared):
-    schema = pa.schema([("word", pa.int64()), ("h", pa.int64()), ("times", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value[1]
-        for batch in batches:
-            keys = np.asarray(batch.column(0))
-            for i, _, words in word_chunks(batch.column(1), lower=True):
-                hashes, first = tokens(words)
-                at = np.flatnonzero(vocab.find(hashes)[0] < 0)
-                owner = np.searchsorted(first, at, "right") - 1
-                order = np.lexsort((hashes[at], owner))
-                w, o = hashes[at][order], owner[order]
-                new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (o[1:] != o[:-1]))[: len(w)])
-                yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), pa.array(keys[i + o[new]]), pa.array(np.diff(np.append(new, len(w))).astype(np.int32))], schema=schema)
+            words, times, each = map(np.concatenate, zip(*rare, strict=True))
+            pairs = pa.StructArray.from_arrays([words, times], fields=list(_SCORED.field("rare").type.value_type))
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(each)).astype(np.int32), pairs)
+            yield from pa.table([*own.columns, *map(pa.array, made), lists], schema=_SCORED).combine_chunks().to_batches()
 
     return run
 
@@ -429,14 +512,13 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     counts = scratch.put(count_words(training), "counts")
     vocab = vocabulary(counts)
     shared = docs.sparkSession.sparkContext.broadcast((fit(training, vocab, scratch), vocab))
-    rare = rows.select("h", "text").mapInArrow(lean(_rare(shared)), "word long, h long, times int")
-    # equal texts have equal rows here; one of each counts, and no shuffle parts it from the join
-    met = rare.join(counts, "word", "left").groupBy("word", "h").agg(F.max("times").alias("times"), F.max("c").alias("c"))
-    sums = met.groupBy("h").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare_log"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+    scored = scratch.put(rows.mapInArrow(lean(_score(shared)), _SCORED_DDL), "scored")
+    rare = scored.select("h", F.posexplode("rare").alias("k", "own")).select("h", (F.col("k") == 0).cast("int").alias("texts"), F.col("own.word").alias("word"), F.col("own.times").alias("times"))
+    # texts: how many equal texts a row of sums is of, as each begins once; what is theirs together is shared out
+    sums = rare.join(counts, "word", "left").groupBy("h").agg(
+        (F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))) / F.sum("texts")).alias("rare_log"),
+        (F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)) / F.sum("texts")).alias("rare_known"),
     )
-    scored = rows.mapInArrow(lean(_score(shared)), "doc_id long, held_out boolean, h long, n_tokens long, known long, base double, model double")
     extra, none = F.coalesce("rare_log", F.lit(0.0)), F.lit(0)
     return scored.join(sums, "h", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", none)).cast("long").alias("n_known"),

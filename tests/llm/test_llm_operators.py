@@ -26,7 +26,7 @@ from framewright.llm import (
     substring_dedup,
     toxicity,
 )
-from framewright.llm.common import Scratch, Words, text_chunks, word_hash
+from framewright.llm.common import Scratch, Words, lean, text_chunks, word_hash
 
 #: Columns besides the usual ones, with names that operators use inside.
 SCHEMA = "doc_id bigint, text string, lang string, source string, n bigint, node string, h string, score string, rejected string, _id string, _leaking int, root int, word string"
@@ -416,6 +416,47 @@ def test_language_model_by_hand(spark, monkeypatch):
         assert out[i] == pytest.approx(total, rel=1e-4), i
 
 
+def test_language_model_reads_texts_thrice(spark, monkeypatch):
+    """Texts are counted, trained on and scored, one pass each; equal texts share what their rarer words add up to."""
+    passes = []
+    monkeypatch.setattr(language_model, "lean", lambda run: passes.append(run) or lean(run))
+    monkeypatch.setattr(language_model, "FREQUENT", 20)
+    monkeypatch.setattr(language_model, "UNKNOWN", 16)
+    monkeypatch.setattr(language_model, "CLASSES", 4)
+    monkeypatch.setattr(language_model, "MEMBERS", 4)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(60 * rng.random() ** 2)}" for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    texts += ["new Words w59 new w58", "w59 w59 w57 W59", None, " ", *texts[:4]]
+    rows = list(enumerate(3 * texts))
+    out = language_model.score_documents(table(spark, rows), F.col("doc_id") % 7 == 2)
+    assert len(passes) == 3 and "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    split = {i: [*(t or "").lower().split(), None] for i, t in rows}
+    c = Counter(w for i, ws in split.items() if i % 7 != 2 for w in ws)
+    floor = math.log10(sum(c.values()) + len(c) + 1)
+    got, scores = out.collect(), {}
+    assert len(got) == len(rows) and len(c) > 20
+    for r in got:
+        assert r.n_known == sum(c[w] > 0 for w in split[r.doc_id]), r.doc_id
+        assert r.base_score == pytest.approx(sum(math.log10(c[w] + 1) - floor for w in split[r.doc_id])), r.doc_id
+        scores.setdefault(rows[r.doc_id][1], set()).add(r.score)
+    assert all(len(s) == 1 for s in scores.values())
+
+
+def test_language_model_places():
+    """Words are found where a search by halves finds them, evenly spread or not."""
+    rng = np.random.default_rng(5)
+    even = rng.integers(0, 2**64, 3_000, dtype=np.uint64)
+    for hashes in (even, even[:1], np.arange(900, dtype=np.uint64), np.append(even, np.uint64(2**63) + np.arange(500, dtype=np.uint64))):
+        hashes = np.unique(hashes)
+        n = len(hashes)
+        vocab = language_model.Vocabulary(hashes, np.arange(n) + 1, np.minimum(np.arange(n), 700), n, n, 1.0, 0, 700)
+        sought = np.concatenate([hashes, hashes + np.uint64(1), hashes - np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        assert (vocab.place(sought) == np.minimum(np.searchsorted(hashes, sought), n - 1)).all()
+        known, ids, logs = vocab.find(sought)
+        assert (known == np.isin(sought, hashes)).all() and (ids[:n] == vocab.ids).all() and (ids[~known] == 700).all()
+        assert np.allclose(logs[:n], np.log10(vocab.counts + 1)) and (logs[~known] == 0).all()
+
+
 def test_language_model_gradients():
     """Backpropagation against finite differences; scoring in windows against one pass; probabilities sum to one."""
     rng = np.random.default_rng(2)
